@@ -64,3 +64,41 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tellurion.llm.encoding import encode_documents
 
     return encode_documents(_spark.documents(spark, sf_dir), tokenizer(), with_ids=False)
+
+
+@query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tellurion.llm.sketch import fingerprints
+
+    return fingerprints(_spark.documents(spark, sf_dir))
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tellurion.llm.classifier import classify
+
+    return classify(_spark.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op7_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tellurion.llm.chat import perspectives
+
+    spans = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"], m["end"])), " ")
+    return perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet")).withColumn("mask", spans)
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tellurion.llm.langid import identify
+
+    return identify(_spark.documents(spark, sf_dir))
+
+
+def _oracles() -> None:
+    from tellurion.llm import chat
+
+    ORACLE_SQL["op7_chat_perspectives"] = chat.ORACLE
+
+
+_oracles()
