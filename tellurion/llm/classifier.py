@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tellurion.llm import _sample, _text
 
 #: Labelled rows of each kind to learn from, the bytes taken of each into a dictionary, and a dictionary's size.
-SAMPLE, TAKEN, SIZE, LEVEL = 1500, 1200, 112_640, 6
+SAMPLE, TAKEN, SIZE, LEVEL = 2000, 500, 220_000, 9
 
 
 @dataclass(frozen=True)
