@@ -55,15 +55,26 @@ def features(texts: list[bytes], good: zstandard.ZstdCompressor, bad: zstandard.
     return np.stack([difference, np.where(empty, 1.0, ratio), difference * np.abs(difference)], 1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights and constant, by Newton's method with a slight pull towards 0."""
+def _logistic(x: np.ndarray, y: np.ndarray, pull: float = 0.5) -> np.ndarray:
+    """Weights and constant, by Newton's method with halved steps where a whole one would overshoot, and a pull towards 0."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
+
+    def loss(w: np.ndarray) -> float:
+        margin = z @ w
+        return float((np.logaddexp(0, margin) - y * margin).sum() + pull / 2 * (w @ w))
+
     w = np.zeros(z.shape[1])
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        hessian = (z * (p * (1 - p))[:, None]).T @ z + 0.05 * np.eye(len(w))
-        w -= np.linalg.solve(hessian, z.T @ (p - y) + 0.05 * w)
+        gradient = z.T @ (p - y) + pull * w
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + pull * np.eye(len(w)), gradient)
+        size, now = 1.0, loss(w)
+        while size > 1e-6 and loss(w - size * step) > now - 1e-4 * size * float(gradient @ step):
+            size /= 2
+        w -= size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
     own = w[:-1] / scale
     return np.append(own, w[-1] - (own * mean).sum())
 
@@ -78,15 +89,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     if min(map(len, kinds.values())) < 4:
         return None
     held, rest = {}, {}
+    # dictionaries of one size: else the larger one would know more of any text
+    size = min(SIZE, *(sum(min(len(x), TAKEN) + 1 for x in texts[: max(2, len(texts) * 6 // 10)]) for texts in kinds.values()))
     for y, texts in kinds.items():
         taken, content = 0, []
         for text in texts[: max(2, len(texts) * 6 // 10)]:
             at = int.from_bytes(hashlib.sha1(text).digest()[:4], "big") % max(1, len(text) - TAKEN + 1)
             content.append(text[at : at + TAKEN])
             taken += 1
-            if sum(map(len, content)) >= SIZE:
+            if sum(map(len, content)) >= size:
                 break
-        held[y], rest[y] = b"\n".join(content)[:SIZE], texts[taken:]
+        held[y], rest[y] = b"\n".join(content)[:size], texts[taken:]
     x = features(rest[1] + rest[0], _compressor(held[1], level), _compressor(held[0], level))
     return Model(held[1], held[0], tuple(_logistic(x, np.array([1.0] * len(rest[1]) + [0.0] * len(rest[0]))).tolist()))
 
