@@ -79,7 +79,7 @@ class Rows:
             return self
         rest = F.map_filter(T.flatten(F.col("metadata")), lambda k, v: ~k.isin(*FIXED))
         own = F.map_filter(F.create_map(*[x for n in FIXED for x in (F.lit(n), self.token(n))]), lambda k, v: v.isNotNull())
-        return Rows(self.df.select("ts", "seq", F.map_concat(own, rest).alias("row")), False, self.order)
+        return Rows(settled(self.df.select("ts", "seq", F.map_concat(own, rest).alias("row"))), False, self.order)
 
     def put(self, **values: Column) -> Rows:
         return self.put_all(values)
@@ -87,18 +87,25 @@ class Rows:
     def put_all(self, values: dict[str, Column]) -> Rows:
         """Sets tokens; a null one removes the field. A write through an object or into a scalar raises field_conflict."""
         rows = self.mapped()
-        new = F.map_filter(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
-        names = list(values)
-        clash = F.exists(F.map_keys("row"), lambda k: F.lit(False) if not names else _any(k.startswith(n + ".") | F.lit(n).startswith(F.concat(k, F.lit("."))) for n in names))
+        # columns of their own, so that a value that is used twice is computed once
+        df = rows.df.withColumns({f"__v{i}": v for i, v in enumerate(values.values())})
+        names, columns = list(values), [F.col(f"__v{i}") for i in range(len(values))]
+        new = F.map_filter(F.create_map(*[x for k, c in zip(names, columns) for x in (F.lit(k), c)]), lambda k, v: v.isNotNull())
+        clash = F.exists(F.map_keys("row"), lambda k: _any(k.startswith(n + ".") | F.lit(n).startswith(F.concat(k, F.lit("."))) for n in names))
         kept = F.map_filter("row", lambda k, v: ~k.isin(names))
         row = F.when(clash, F.raise_error(F.lit(f"field_conflict: {', '.join(names)}")).cast("map<string,string>")).otherwise(F.map_concat(kept, new))
-        return replace(rows, df=rows.df.withColumn("row", row))
+        return replace(rows, df=settled(df.withColumn("row", row).drop(*[f"__v{i}" for i in range(len(values))])))
 
     def set_map(self, row: Column) -> Rows:
         rows = self.mapped()
         return replace(rows, df=rows.df.withColumn("row", row))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, with the map behind a generator: else the optimizer writes the map's expression out wherever a field is read, and plans of a few pipes grow beyond measure."""
+    return df.select(*[c for c in df.columns if c != "row"], F.explode(F.array("row")).alias("row"))
+
+
 def _any(columns) -> Column:
     out = F.lit(False)
     for c in columns:
@@ -611,12 +618,15 @@ class Run:
     # text
     def write(self, rows: Rows, name: str, value: Column, condition=None, keep=False, skip=False) -> Rows:
         """A text into a field."""
+        rows = rows.mapped()
+        rows, value = replace(rows, df=rows.df.withColumn("__text", value)), F.col("__text")
         holds = self.when(rows, condition)
         if keep:
             holds = holds & (rows.text(name) == "")
         if skip:
             holds = holds & (value != "")
-        return rows.put_all({name: F.when(holds, T.quote(value)).otherwise(rows.token(name))})
+        out = rows.put_all({name: F.when(holds, T.quote(value)).otherwise(rows.token(name))})
+        return replace(out, df=out.df.drop("__text"))
 
     def do_coalesce(self, rows: Rows, fields, as_, default="") -> Rows:
         return self.write(rows.mapped(), as_, F.coalesce(*[F.nullif(rows.mapped().text(f), F.lit("")) for f in fields], F.lit(default)))
@@ -825,10 +835,12 @@ class Run:
     def do_unroll(self, rows: Rows, fields, condition=None) -> Rows:
         rows = rows.mapped()
         holds = self.when(rows, condition)
-        lists = [F.when(rows.text(f).startswith("["), F.from_json(rows.text(f), "array<string>")).otherwise(F.array(rows.text(f))) for f in fields]
-        zipped = F.arrays_zip(*[x.alias(f"f{i}") for i, x in enumerate(lists)])
+        df = rows.df.withColumns({"__holds": holds, **{f"__t{i}": rows.text(f) for i, f in enumerate(fields)}})
+        lists = {f"__t{i}": F.when(F.col(f"__t{i}").startswith("["), F.from_json(f"__t{i}", "array<string>")).otherwise(F.array(f"__t{i}")) for i in range(len(fields))}
+        zipped = F.arrays_zip(*[F.col(f"__t{i}").alias(f"f{i}") for i in range(len(fields))])
         blank = F.array(F.struct(*[F.lit("").alias(f"f{i}") for i in range(len(fields))]))
-        df = rows.df.withColumn("__holds", holds).withColumn("__z", F.when(F.size(zipped) > 0, zipped).otherwise(blank))
+        df = df.withColumns(lists).withColumn("__z", zipped).drop(*lists)
+        df = df.withColumn("__z", F.when(F.size("__z") > 0, F.col("__z")).otherwise(blank))
         df = df.select("*", F.posexplode(F.when(F.col("__holds"), F.col("__z")).otherwise(F.slice("__z", 1, 1))).alias("__at", "__i"))
         out = replace(rows, df=df, order=[*rows.order, (F.col("__at"), False)])
         out = out.put_all({f: F.when(F.col("__holds"), T.quote(F.coalesce(F.col("__i")[f"f{i}"], F.lit("")))).otherwise(rows.token(f)) for i, f in enumerate(fields)})
@@ -933,7 +945,7 @@ def table(df: DataFrame, values: dict[str, Column], order: list[Column]) -> Rows
     """Rows from columns that hold tokens, in ascending order."""
     row = F.map_filter(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
     out = df.select(F.lit(None).cast("long").alias("ts"), F.lit(0).cast("long").alias("seq"), row.alias("row"), *[c.alias(f"__o{i}") for i, c in enumerate(order)])
-    return Rows(out, False, [(F.col(f"__o{i}"), False) for i in range(len(order))])
+    return Rows(settled(out), False, [(F.col(f"__o{i}"), False) for i in range(len(order))])
 
 
 def tokens_of(texts: Column) -> Column:

@@ -60,7 +60,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SAMPLES = "SELECT event_type, (user_id % 10)::VARCHAR AS shard, epoch_ms(ts) AS ts, value AS v, event_id AS seq FROM events"
+SAMPLES = "SELECT event_type, (user_id % 10)::VARCHAR AS shard, epoch_us(ts) // 1000 AS ts, value AS v, event_id AS seq FROM events"
 GRID = f"SELECT unnest(generate_series({START}::BIGINT, {STOP}::BIGINT, {SIX}::BIGINT)) AS t"
 COUNTERS = f"SELECT event_type, shard, ts, seq, (row_number() OVER (PARTITION BY event_type, shard ORDER BY ts, seq) % 50)::DOUBLE AS v FROM ({SAMPLES})"
 ENTRIES = """SELECT epoch_us(ts) AS ts, event_id AS seq, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'notice' WHEN 'purchase' THEN 'warning' WHEN 'click' THEN 'info' ELSE 'debug' END AS level,
@@ -123,7 +123,7 @@ _TWO = f"SELECT event_type, shard, t, count(*) AS n, arg_max(v, ts) AS l, arg_ma
 prom("promql_irate", "irate(events_total[1d])", ("event_type", "shard"), f"SELECT event_type, shard, t, round(CASE WHEN l < p THEN l ELSE l - p END * 1000 / (lt - pt), 6) AS v FROM ({_TWO}) WHERE lt > pt", counters)
 prom("promql_idelta", "idelta(events_value[1d])", ("event_type", "shard"), f"SELECT event_type, shard, t, round(l - p, 6) AS v FROM ({_TWO.replace(COUNTERS, SAMPLES)}) WHERE lt > pt")
 prom("promql_deriv", "deriv(events_value[1d])", ("event_type", "shard"), f"SELECT event_type, shard, t, round(regr_slope(v, (ts - {START}) / 1000.0), 6) AS v FROM ({SAMPLES}) s JOIN ({GRID}) g ON s.ts > t - {DAY} AND s.ts <= t GROUP BY ALL HAVING count(*) >= 2")
-prom("promql_predict_linear", "predict_linear(events_value[1d], 3600)", ("event_type", "shard"), f"SELECT event_type, shard, t, round(avg(v) + regr_slope(v, (ts - {START}) / 1000.0) * ((t - {START}) / 1000.0 - avg((ts - {START}) / 1000.0) + 3600), 4) AS v FROM ({SAMPLES}) s JOIN ({GRID}) g ON s.ts > t - {DAY} AND s.ts <= t GROUP BY ALL HAVING count(*) >= 2")
+prom("promql_predict_linear", "predict_linear(events_value[1d], 3600)", ("event_type", "shard"), f"SELECT event_type, shard, t, round(m + b * ((t - {START}) / 1000.0 - x + 3600), 4) AS v FROM (SELECT event_type, shard, t, avg(v) AS m, regr_slope(v, (ts - {START}) / 1000.0) AS b, avg((ts - {START}) / 1000.0) AS x FROM ({SAMPLES}) s JOIN ({GRID}) g ON s.ts > t - {DAY} AND s.ts <= t GROUP BY ALL HAVING count(*) >= 2)")
 QUERIES["promql_predict_linear"] = lambda spark, d: shown(Metrics(samples(spark, d), 12 * HOUR).query_range("predict_linear(events_value[1d], 3600)", START, STOP, SIX), "event_type", "shard", digits=4)
 prom("promql_subquery", "max_over_time(sum by (shard) (events_value)[1d:6h])", ("shard",), f"""WITH g2 AS (SELECT unnest(generate_series({START - DAY + SIX}::BIGINT, {STOP}::BIGINT, {SIX}::BIGINT)) AS u),
 inner_ AS (SELECT shard, u, sum(x) AS v FROM (SELECT event_type, shard, u, arg_max(v, ts) AS x FROM ({SAMPLES}) s JOIN g2 ON s.ts > u - {12 * HOUR} AND s.ts <= u GROUP BY ALL) GROUP BY ALL)
@@ -159,7 +159,7 @@ prom("promql_label_join", 'label_join(events_value, "both", "/", "event_type", "
 prom("promql_absent", 'absent(events_value{event_type="click",shard="3"} > 50)', (), f"SELECT t, 1.0::DOUBLE AS v FROM ({GRID}) WHERE t NOT IN (SELECT t FROM ({_CLICK}) WHERE shard = '3' AND v > 50)")
 prom("promql_absent_over_time", 'absent_over_time(events_value{event_type="signup",shard="3"}[6h])', ("event_type", "shard"), f"SELECT 'signup' AS event_type, '3' AS shard, t, 1.0::DOUBLE AS v FROM ({GRID}) g WHERE NOT EXISTS (SELECT 1 FROM ({SAMPLES}) s WHERE event_type = 'signup' AND shard = '3' AND s.ts > t - {SIX} AND s.ts <= t)")
 prom("promql_scalar_vector_time", 'vector(scalar(sum(events_value)) + time() - time() + pi() * 0)', (), f"SELECT t, round(sum(v), 4) AS v FROM ({LAST}) GROUP BY t")
-QUERIES["promql_scalar_vector_time"] = lambda spark, d: shown(Metrics(samples(spark, d), 12 * HOUR).query_range("vector(scalar(sum(events_value)) + time() - time() + pi() * 0)", START, STOP, SIX), digits=4)
+QUERIES["promql_scalar_vector_time"] = lambda spark, d: shown(Metrics(samples(spark, d), 12 * HOUR).query_range("vector(scalar(sum(events_value)) + time() - time() + pi() * 0)", START, STOP, SIX).where(~F.isnan("v")), digits=4)
 prom("promql_timestamp", "timestamp(events_value)", ("event_type", "shard"), f"SELECT event_type, shard, t, round(v / 1000.0, 6) AS v FROM ({windowed('max(ts)', 12 * HOUR)})")
 prom("promql_calendar", "hour() + day_of_week() * 100 + day_of_month() * 1000 + month() * 100000 + minute() * 0 + day_of_year() * 0 + days_in_month() * 0 + year() * 0", (), f"SELECT t, (hour(d) + dayofweek(d) * 100 + day(d) * 1000 + month(d) * 100000)::DOUBLE AS v FROM (SELECT t, make_timestamp(t * 1000) AS d FROM ({GRID}))")
 prom("metricsql_default", 'events_value{event_type="click"} > 80 default 0', ("event_type", "shard"), f"WITH a AS (SELECT * FROM ({_CLICK}) WHERE v > 80), k AS (SELECT DISTINCT event_type, shard FROM a) SELECT event_type, shard, t, round(coalesce(v, 0), 6) AS v FROM (SELECT * FROM k, ({GRID})) LEFT JOIN a USING (event_type, shard, t)", metricsql=True)
@@ -316,7 +316,7 @@ ORACLE_SQL["logsql_sort_limit"] = f"SELECT k, user_id FROM {E} WHERE level = 'no
 logsql("logsql_stats", "* | stats by (event_type) count() n, sum(k) s, avg(k) a, count_uniq(user_id) u, stddev(k) d, sum_len(event_type) b", {"event_type": "string", "n": B, "s": B, "a": "double", "u": B, "d": "double", "b": B}, f"SELECT event_type, count(*) AS n, sum(k)::BIGINT AS s, round(avg(k), 6) AS a, count(DISTINCT user_id) AS u, round(stddev_pop(k), 6) AS d, sum(strlen(event_type))::BIGINT AS b FROM {E} GROUP BY ALL")
 logsql("logsql_stats_if", "* | stats by (level) count() if (k:>50) n, count_empty(nothing) e", {"level": "string", "n": B, "e": B}, f"SELECT level, count(*) FILTER (k > 50) AS n, count(*) AS e FROM {E} GROUP BY ALL")
 logsql("logsql_quantile", "* | stats by (event_type) quantile(0.9, k) q", {"event_type": "string", "q": B}, f"SELECT event_type, l[least(floor(len(l) * 0.9)::BIGINT, len(l) - 1) + 1] AS q FROM (SELECT event_type, list_sort(list(k)) AS l FROM {E} GROUP BY ALL)")
-logsql("logsql_top", "* | top 7 by (user_id) hits as n", {"user_id": B, "n": B}, f"SELECT user_id, count(*) AS n FROM {E} GROUP BY ALL ORDER BY n DESC, user_id::VARCHAR LIMIT 7")
+logsql("logsql_top", "* | top 7 by (user_id) hits as n", {"user_id": B, "n": B}, f"SELECT user_id, n FROM (SELECT user_id, count(*) AS n FROM {E} GROUP BY user_id) ORDER BY n DESC, user_id::VARCHAR LIMIT 7")
 logsql("logsql_uniq", "k:<20 | uniq by (k, level) hits", {"k": B, "level": "string", "hits": B}, f"SELECT k, level, count(*) AS hits FROM {E} WHERE k < 20 GROUP BY ALL")
 logsql("logsql_field_values", "* | field_values event_type", {"event_type": "string", "hits": B}, f"SELECT event_type, count(*) AS hits FROM {E} GROUP BY ALL")
 logsql("logsql_field_names", "level:error | field_names", {"name": "string", "hits": B}, f"SELECT unnest(['_time', '_msg', 'level', 'k', 'user_id', 'event_type']) AS name, count(*) AS hits FROM {E} WHERE level = 'error' GROUP BY ALL")
