@@ -161,11 +161,11 @@ def check_packed(rows, capacity):
 @pytest.mark.parametrize("capacity", [16, 2048])
 def test_packing(docs, capacity):
     tool = Tokenizer.from_file(TOKENIZER)
+    coded = {i: [*tool.encode(t or "", add_special_tokens=False).ids, 0] for i, t in [*enumerate(TEXTS), (None, PASSAGE)]}
     found = packing.pack_by_configurations(docs, TOKENIZER, capacity).collect()
     total = 0
     for r in found:
-        text = PASSAGE if r.doc_id is None else TEXTS[r.doc_id]
-        ids = [*tool.encode(text or "", add_special_tokens=False).ids, 0]
+        ids = coded[r.doc_id]
         total += r.length
         part = ids[r.start : r.start + r.length]
         assert len(part) == r.length and zlib.crc32(np.array(part, "<u4").tobytes()) == r.ids_crc32 and r.start == r.piece * capacity
@@ -177,8 +177,7 @@ def test_packing(docs, capacity):
         assert len(ids) == capacity and m.cu_seqlens[-1] == m.n_tokens and m.position_resets == m.cu_seqlens[: None if m.n_tokens < capacity else -1]
         for i, (doc, start) in enumerate(zip(m.doc_ids, m.starts)):
             a, b = m.cu_seqlens[i : i + 2]
-            text = PASSAGE if doc is None else TEXTS[doc]
-            assert ids[a:b].tolist() == [*tool.encode(text or "", add_special_tokens=False).ids, 0][start : start + b - a]
+            assert ids[a:b].tolist() == coded[doc][start : start + b - a]
     assert packing.pack_by_configurations(empty(docs), TOKENIZER).count() == 0
 
 
