@@ -33,6 +33,9 @@ SEED = 42
 #: The reference fingerprints: fixed, spread at random, so that every cluster and every run has the same table.
 PIVOTS = [int(x) for x in np.random.Generator(np.random.PCG64(64)).integers(-(2**63), 2**63 - 1, 16)]
 BAND = 8
+#: Texts that the common shingles are counted in, and how many shingles are held; an order, right whatever they are.
+COMMON_SAMPLE, MOST_COMMON = 16_000, 1 << 18
+MARK_BITS = 24
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,81 +178,153 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, **column
     return near_groups(_spark.cut(fingerprints(docs, shingle, **columns)), radius)
 
 
-def sketched(docs: DataFrame, features: int, shingle: int, size: int) -> DataFrame:
-    """doc_id; fp over word groups of `features` words; sketch, the `size` smallest 32-bit hashes of its shingles; key, of the
-    sketch and the number of shingles: equal for equal sets."""
-    docs = docs.select("doc_id", "text")
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the sorted 64-bit hashes of its different word shingles, and n + 1 offsets. A text of fewer words is one shingle."""
+    plain = np.frombuffer(data.tobytes().translate(LOWER), np.uint8)
+    w = _text.words(plain, offsets)
+    n = np.diff(w.first)
+    count = np.where(n >= size, n - size + 1, 0)
+    counts = np.concatenate(([0], np.cumsum(count)))
+    at = np.repeat(w.first[:-1] - counts[:-1], count) + np.arange(counts[-1])
+    found = _text.mix(_text.window_hash(w.hash, size)[at])
+    short = np.flatnonzero((n > 0) & (n < size))
+    if len(short):
+        whole = np.array([_text.mix(_text.window_hash(w.hash[w.first[k] : w.first[k + 1]], int(n[k])))[0] for k in short], np.uint64)
+        found, count = np.insert(found, counts[short], whole), np.where(n >= size, count, np.minimum(n, 1))
+    row = np.repeat(np.arange(len(n)), count)
+    found = found[np.lexsort((found, row))]
+    new = np.concatenate(([True], (found[1:] != found[:-1]) | (row[1:] != row[:-1])))[: len(found)]
+    return found[new], np.concatenate(([0], np.cumsum(np.bincount(row[new], minlength=len(n)))))
+
+
+def _by_sets(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row ranges of a batch, whose last column is the text, with their shingle sets."""
+    data, offsets = _text.buffers(batch.column(batch.num_columns - 1))
+    for i, j in _text.groups(offsets, 2 << 20):
+        part = offsets[i : j + 1]
+        yield i, j, *shingle_sets(data[part[0] : part[-1]], part - part[0], shingle)
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a bounded sample hold, sorted, and in how many. They only set the order in which shingles are looked up."""
+    n = docs.count()
+    drawn = docs.where(F.pmod(F.xxhash64("text", F.lit("common")), F.lit(1 << 30)) < int(min(1.0, COMMON_SAMPLE / max(n, 1)) * (1 << 30))).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, hashes, _ in _by_sets(batch, shingle):
+                found, many = np.unique(hashes, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(many)], ["token", "n"])
+
+    counted = drawn.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 3")
+    top = counted.orderBy(F.desc("n"), "token").limit(MOST_COMMON).toArrow()
+    tokens, many = top["token"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], many[order]
+
+
+def prefix_length(n, share: float):
+    """How many of the first of n shingles one of at least share * n common ones must be among. Rounding errors only lengthen it."""
+    return np.where(n > 0, n - np.ceil(share * n - 1e-9).astype(np.int64) + 1, 0)
+
+
+def prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id; mark, of the text; key, of the shingle set: equal for equal sets; n, its size; prefix, its first shingles: the rare before the common."""
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, many = sent.value
         for batch in batches:
-            data, offsets = _text.buffers(batch.column(1))
-            for i, j in _text.groups(offsets, 2 << 20):
-                part = offsets[i : j + 1]
-                plain = np.frombuffer(data[part[0] : part[-1]].tobytes().translate(LOWER), np.uint8)
-                w = _text.words(plain, part - part[0])
-                n = np.diff(w.first)
-
-                def windows(width: int) -> tuple[np.ndarray, np.ndarray]:
-                    count = np.where(n >= width, n - width + 1, 0)
-                    counts = np.concatenate(([0], np.cumsum(count)))
-                    at = np.repeat(w.first[:-1] - counts[:-1], count) + np.arange(counts[-1])
-                    found = _text.mix(_text.window_hash(w.hash, width)[at])
-                    short = np.flatnonzero((n > 0) & (n < width))
-                    if len(short):  # the whole sequence is the only shingle
-                        whole = np.array([_text.mix(_text.window_hash(w.hash[w.first[k] : w.first[k + 1]], int(n[k])))[0] for k in short], np.uint64)
-                        found, counts = np.insert(found, counts[short], whole), counts + np.concatenate(([0], np.cumsum((n > 0) & (n < width))))
-                    return found, counts
-
-                prints = fingerprints_of(*windows(features))
-                hashes, counts = windows(shingle)
-                order = np.lexsort((hashes, np.repeat(np.arange(len(n)), np.diff(counts))))
-                small = (hashes[order] >> np.uint64(32)).astype("<u4")
-                sketches, keys = [], []
-                for a, b in zip(counts[:-1].tolist(), counts[1:].tolist()):
-                    own = small[a:b]
-                    own = own[np.concatenate(([True], own[1:] != own[:-1]))] if b > a else own
-                    sketches.append(own[:size].tobytes())
-                    keys.append(xxhash.xxh64_intdigest(sketches[-1], len(own)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(prints.view(np.int64)), pa.array(sketches, pa.binary()), pa.array(np.array(keys, np.uint64).view(np.int64))], ["doc_id", "fp", "sketch", "key"])
-
-    return docs.mapInArrow(run, f"doc_id {kind}, fp bigint, sketch binary, key bigint")
-
-
-def likeness(a: bytes, b: bytes, size: int) -> float:
+            for i, j, hashes, counts in _by_sets(batch, shingle):
+                n = np.diff(counts)
+                raw = hashes.astype("<u8").tobytes()
+                keys = np.array([xxhash.xxh64_intdigest(raw[8 * a : 8 * b]) for a, b in zip(counts[:-1].tolist(), counts[1:].tolist())], np.uint64)
+                if len(tokens) and len(hashes):
+                    at = np.minimum(np.searchsorted(tokens, hashes), len(tokens) - 1)
+                    level = np.where(tokens[at] == hashes, many[at], 0)
+                    hashes = hashes[np.lexsort((level, np.repeat(np.arange(len(n)), n)))]
+                taken = prefix_length(n, similarity)
+                ends = np.concatenate(([0], np.cumsum(taken)))
+                first = hashes[np.repeat(counts[:-1] - ends[:-1], taken) + np.arange(ends[-1])]
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(first.view(np.int64)))
+                own = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(keys.view(np.int64)), pa.array(n), lists], ["doc_id", "mark", "key", "n", "prefix"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, mark bigint, key bigint, n bigint, prefix array<bigint>")
+
+
+def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
+    """a and b for all pairs of sets that may be alike by `similarity` or more, from columns key, n and prefix.
+
+    The smaller set of such a pair holds a common shingle among its first n - 2s/(1+s) n + 1, the larger among its first n - s n + 1.
+    What lies behind a common shingle bounds the number of common ones.
+    """
+    share = similarity / (1 + similarity)
+    rows = nodes.select("key", "n", F.posexplode("prefix").alias("at", "token"))
+    one = rows.where(F.col("at") <= F.col("n") - F.ceil(2 * share * F.col("n") - 1e-9)).select("token", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    other = rows.select("token", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    sizes = (F.col("n_a") >= similarity * F.col("n_b") - 1e-9) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))))
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= share * (F.col("n_a") + F.col("n_b")) - 1e-9
+    return one.join(other, "token").where(sizes & rest).select("a", "b").distinct()
+
+
+def sets_of(docs: DataFrame, marks: DataFrame, shingle: int) -> DataFrame:
+    """key and whole, the sorted shingle hashes, once for each set of the texts with those marks, and of some others."""
+    bits = np.zeros(1 << MARK_BITS, bool)
+    for r in marks.select(F.col("mark").bitwiseAND((1 << MARK_BITS) - 1).cast("int").alias("slot")).distinct().toArrow().to_batches():
+        bits[r.column(0).to_numpy()] = True
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column(0).to_numpy() & ((1 << MARK_BITS) - 1)
+            for _, _, hashes, counts in _by_sets(batch.filter(pa.array((sent.value[slot >> 3] >> (slot & 7)) & 1 == 1)), shingle):
+                raw = hashes.astype("<u8").tobytes()
+                whole = [raw[8 * a : 8 * b] for a, b in zip(counts[:-1].tolist(), counts[1:].tolist())]
+                keys = np.array([xxhash.xxh64_intdigest(x) for x in whole], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(whole, pa.binary())], ["key", "whole"])
+
+    return docs.select(F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "key bigint, whole binary").groupBy("key").agg(F.first("whole").alias("whole"))
+
+
+def likeness(a: bytes, b: bytes, size: int = 256) -> float:
     """Jaccard similarity of two sets from their `size` smallest hashes: exact for sets of that many at most."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    x, y = np.frombuffer(a, "<u8")[:size], np.frombuffer(b, "<u8")[:size]
     both = np.union1d(x, y)
     if len(x) >= size or len(y) >= size:
         both = both[both <= min([s[-1] for s in (x, y) if len(s) >= size])]
     return len(np.intersect1d(both, np.intersect1d(x, y, True), True)) / len(both) if len(both) else 1.0
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, features: int = 2, radius: int = 11, tables: int = 40, taken: int = 20, size: int = 256) -> DataFrame:
-    """doc_id and component_id of every document; texts link whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+def copy_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """doc_id, mark (of the text) and root of every document; equal roots are one group.
 
-    Such texts' fingerprints over 64 bits lie further apart than blocks can split. The fingerprints are taken of word pairs, which
-    an edit changes least, and candidates meet in samples of bits: two at 8 bits from each other meet in one of them with
-    a probability of 0.94, at 6 of 0.997. The pivot table discards, the distance is verified, then the likeness
-    of the shingle sets, estimated from their 256 smallest hashes (exact for texts with no more), decides.
-    Texts of equal sets are one node. Texts without words are alike and link with each other.
+    All texts link whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates share a shingle of their
+    prefixes, which no such pair can avoid; likeness is estimated from 256 hashes. Texts of equal sets are one node.
+    Texts without words are alike and link with each other.
     """
-    prints = _spark.table(sketched(docs, features, shingle, size))
-    nodes = _spark.table(prints.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
-    pairs = near_pairs(nodes.select("fp").distinct(), radius, samples(tables, taken), band=65)
-    # different sets with equal fingerprints are candidates as well
-    pairs = _spark.cut(pairs.union(nodes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp", F.col("fp").alias("fp_b"))))
-    one = nodes.select(F.col("fp").alias("fp_a"), F.col("key").alias("a"), F.col("sketch").alias("x"))
-    other = nodes.select(F.col("fp").alias("fp_b"), F.col("key").alias("b"), F.col("sketch").alias("y"))
-    held = pairs.join(one, "fp_a").join(other, "fp_b").where("fp_a <> fp_b or a < b").select("a", "b", "x", "y")
+    prints = _spark.table(prefixes(docs, shingle, similarity))
+    nodes = _spark.table(prints.groupBy("key").agg(F.first("mark").alias("mark"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    pairs = _spark.cut(candidates(nodes, similarity))
+    met = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    sets = _spark.table(sets_of(docs, nodes.join(met, "key"), shingle))
+    held = pairs.join(sets.select(F.col("key").alias("a"), F.col("whole").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("whole").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = [likeness(x, y, size) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            alike = [likeness(x, y) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     roots = components(held.mapInArrow(run, "a bigint, b bigint"))
-    return prints.select("doc_id", "key").join(_owners(nodes.select("key", "least"), "key", roots), "key").select("doc_id", "component_id")
+    return prints.join(roots, prints["key"] == roots["node"], "left").select("doc_id", "mark", F.coalesce("root", "key").alias("root"))
+
+
+def near_copies(docs: DataFrame, **parameters) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id of its group, of every document."""
+    groups = _spark.cut(copy_groups(docs, **parameters))
+    return groups.join(groups.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
