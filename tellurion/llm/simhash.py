@@ -109,20 +109,10 @@ def blocks(radius: int, extra: int = 2, bits: int = 64) -> list[tuple[int, ...]]
     return [sum(x) - ((1 << 64) if sum(x) >> 63 else 0) for x in combinations(masks, extra)]
 
 
-def samples(tables: int, taken: int, bits: int = 64) -> list[int]:
-    """Masks of bits drawn at random, the same ones each time: for radii too wide for blocks to split."""
-    draw = np.random.Generator(np.random.PCG64(20))
-    masks = [sum(1 << int(b) for b in draw.choice(bits, taken, replace=False)) for _ in range(tables)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
-
-
-def near_pairs(nodes: DataFrame, radius: int, masks: list[int] | None = None, band: int = BAND) -> DataFrame:
-    """fp_a < fp_b for pairs of the different fingerprints in column fp within `radius` bits, by the pivot table.
-
-    All of them with the masks of blocks(radius), which it takes if none are given; with samples() those that agree in one of them.
-    """
+def near_pairs(nodes: DataFrame, radius: int, band: int = BAND) -> DataFrame:
+    """fp_a < fp_b for all pairs of the different fingerprints in column fp within `radius` bits, by the pivot table."""
     table = nodes.select("fp", F.array(*[distance(F.col("fp"), F.lit(p)).cast("tinyint") for p in PIVOTS]).alias("coords"))
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks or blocks(radius))]))
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(blocks(radius))]))
     cells = table.select("fp", "coords", keys.alias("key")).select("fp", "coords", "key.*")
     first = F.col("coords")[0].cast("int")
     one = cells.select(F.col("fp").alias("fp_a"), F.col("coords").alias("a"), "choice", "bits", F.floor(first / band).cast("int").alias("band"))

@@ -37,3 +37,14 @@ def check(spark, texts):
 def test_all_pairs_at_the_border_are_found(spark):
     shared = " " + " ".join(f"license{i}" for i in range(30))
     check(spark, border(5, 240, 150, (15, 30)) + border(6, 200, 40, (10, 30), shared))
+
+
+def test_a_line_repeated_many_times_makes_no_other_set(spark):
+    draw = np.random.default_rng(8)
+    texts = []
+    for i in range(20):
+        text, line = (" ".join(f"t{x}" for x in draw.integers(0, 50_000, n)) for n in (400, 10))
+        texts += [text, text + f" {line}" * 15]
+    assert all(jaccard(a, b) > 0.9 for a, b in zip(texts[::2], texts[1::2]))
+    found = linked(spark, texts)
+    assert all(found[i + 1] == i for i in range(0, len(texts), 2))
