@@ -279,20 +279,18 @@ def sets_of(docs: DataFrame, marks: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "key bigint, whole binary").groupBy("key").agg(F.first("whole").alias("whole"))
 
 
-def likeness(a: bytes, b: bytes, size: int = 256) -> float:
-    """Jaccard similarity of two sets from their `size` smallest hashes: exact for sets of that many at most."""
-    x, y = np.frombuffer(a, "<u8")[:size], np.frombuffer(b, "<u8")[:size]
-    both = np.union1d(x, y)
-    if len(x) >= size or len(y) >= size:
-        both = both[both <= min([s[-1] for s in (x, y) if len(s) >= size])]
-    return len(np.intersect1d(both, np.intersect1d(x, y, True), True)) / len(both) if len(both) else 1.0
+def likeness(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sets of sorted 64-bit hashes."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    both = len(np.intersect1d(x, y, True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
 def copy_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """doc_id, mark (of the text) and root of every document; equal roots are one group.
 
     All texts link whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates share a shingle of their
-    prefixes, which no such pair can avoid; likeness is estimated from 256 hashes. Texts of equal sets are one node.
+    prefixes, which no such pair can avoid; each is then verified on the whole sets. Texts of equal sets are one node.
     Texts without words are alike and link with each other.
     """
     prints = _spark.table(prefixes(docs, shingle, similarity))

@@ -48,3 +48,7 @@ def test_a_line_repeated_many_times_makes_no_other_set(spark):
     assert all(jaccard(a, b) > 0.9 for a, b in zip(texts[::2], texts[1::2]))
     found = linked(spark, texts)
     assert all(found[i + 1] == i for i in range(0, len(texts), 2))
+
+
+def test_long_texts_are_decided_on_whole_sets(spark):
+    check(spark, border(7, 1500, 80, (140, 180)))
