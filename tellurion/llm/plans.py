@@ -10,6 +10,9 @@ import numpy as np
 Fill = tuple[tuple[int, int], ...]
 Plan = list[tuple[int, Fill]]
 
+#: Of the number of sequences: how near to the least one a plan is near enough.
+GAP = 1e-4
+
 
 class Capacities:
     """Segment tree over free capacities: where is the smallest one of at least n that some open sequence has?"""
@@ -87,8 +90,8 @@ def knapsack(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[n
     return best, last
 
 
-def configuration_lp(histogram: dict[int, int], capacity: int, rounds: int = 24, rate: float = 0.35) -> Plan:
-    """Covers the histogram by few fillings: multiplicative weights, priced by a knapsack over the capacity, then rounded.
+def near_full(histogram: dict[int, int], capacity: int, rounds: int = 24, rate: float = 0.35) -> Plan:
+    """Greedy: fillings that waste almost nothing, priced by a knapsack over the capacity.
 
     Each round prices the configurations at the present weights: one dynamic program gives, for every length, the best
     filling that holds it. Those take what is left of their lengths, in whole multiples. A length of which much
@@ -137,6 +140,92 @@ def configuration_lp(histogram: dict[int, int], capacity: int, rounds: int = 24,
     return plan + best_fit_decreasing(rest, capacity)
 
 
+def fillings(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[float, list[tuple[float, dict[int, int]]]]:
+    """The most weight that fits, and of every length the best filling that holds it (index: copies) with its weight."""
+    best, last = knapsack(lengths, weights, capacity)
+    down = np.maximum.accumulate(np.where(last >= 0, np.arange(capacity + 1), 0)).tolist()
+    last, size, found = last.tolist(), lengths.tolist(), []
+    for first in range(len(size)):
+        taken, c = {first: 1}, down[capacity - size[first]]
+        while c > 0:
+            taken[last[c]] = taken.get(last[c], 0) + 1
+            c = down[c - size[last[c]]]
+        found.append((float(weights[first] + best[capacity - size[first]]), taken))
+    return float(best[capacity]), found
+
+
+def covering_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, most_work: float) -> tuple[list[tuple[float, dict[int, int]]], float]:
+    """Fractional fillings that cover the counts, and a lower bound of how many it takes: primal simplex, columns priced by the knapsack.
+
+    It ends within GAP of the bound, or after most_work / m**2 pivots for m lengths; what it has then covers the counts as well.
+    """
+    m = len(lengths)
+    asked = counts * (1 + 1e-7 * np.random.Generator(np.random.PCG64(8)).random(m))  # no ties, no cycles
+    columns: list[dict[int, int]] = [{i: capacity // int(n)} for i, n in enumerate(lengths)]
+    cost, inverse = np.ones(m), np.diag(1.0 / (capacity // lengths))
+    dual = cost @ inverse
+    x, bound, pivots, most = inverse @ asked, float(counts @ lengths) / capacity, 0, int(most_work / m**2) + 1
+
+    def enter(column: dict[int, int], price: float) -> None:
+        nonlocal x, inverse, dual, pivots
+        d = inverse[:, list(column)] @ np.array(list(column.values()), float)
+        up = np.flatnonzero(d > 1e-9)
+        r = int(up[np.argmin(x[up] / d[up])])
+        step, row = x[r] / d[r], inverse[r] / d[r]
+        x -= step * d
+        some, there = np.flatnonzero(np.abs(d) > 1e-13), np.flatnonzero(row)
+        inverse[np.ix_(some, there)] -= np.outer(d[some], row[there])
+        x[r], inverse[r], columns[r], cost[r] = step, row, column, price
+        dual = dual + (price - sum(dual[i] * k for i, k in column.items())) * row
+        pivots += 1
+        if pivots % 400 == 0:
+            matrix = np.zeros((m, m))
+            for j, held in enumerate(columns):
+                matrix[list(held), j] = list(held.values())
+            inverse = np.linalg.inv(matrix)
+            x, dual = np.maximum(inverse @ asked, 0), cost @ inverse
+
+    while pivots < most:
+        if dual.min() < -1e-9:
+            enter({int(dual.argmin()): -1}, 0.0)  # more than the count may be covered
+            continue
+        value, found = fillings(lengths, np.maximum(dual, 0), capacity)
+        bound = max(bound, float(counts @ np.maximum(dual, 0)) / max(value, 1.0))
+        if value <= 1 + 1e-9 or cost @ x <= bound * (1 + GAP):
+            break
+        for _, column in sorted(found, key=lambda f: -f[0])[: max(1, m // 20)]:
+            if sum(dual[i] * k for i, k in column.items()) > 1 + 1e-9:
+                enter(column, 1.0)
+    return [(float(n), c) for n, c, paid in zip(x, columns, cost) if paid and n > 0], bound
+
+
+def sequences(plan: Plan) -> int:
+    return sum(many for many, _ in plan)
+
+
+def configuration_lp(histogram: dict[int, int], capacity: int, most_work: float = 8e9) -> Plan:
+    """The least of three plans: the covering program over fillings, solved and rounded down with the rest packed; near_full(); best-fit-decreasing.
+
+    The program isn't solved where another plan is proven to take at most one sequence, or GAP of them, more than any could.
+    """
+    best = min((near_full(histogram, capacity), best_fit_decreasing(histogram, capacity)), key=sequences)
+    lengths = np.array(sorted(histogram), np.int64)
+    counts = np.array([histogram[n] for n in lengths.tolist()], np.int64)
+    least = -(-int(counts @ lengths) // capacity) if len(lengths) else 0
+    if sequences(best) - least <= max(1, GAP * least):
+        return best
+    left, plan = counts.copy(), []
+    for n, column in sorted(covering_lp(lengths, counts, capacity, most_work)[0], key=lambda f: -f[0]):
+        many = min(int(n + 1e-4), *(int(left[i]) // k for i, k in column.items()))
+        if many:
+            for i, k in column.items():
+                left[i] -= many * k
+            plan.append((many, tuple((int(lengths[i]), k) for i, k in sorted(column.items(), reverse=True))))
+    rest = {int(n): int(k) for n, k in zip(lengths, left) if k}
+    plan += min((near_full(rest, capacity), best_fit_decreasing(rest, capacity)), key=sequences)
+    return min((best, plan), key=sequences)
+
+
 class Slots:
     """Where the n-th piece of a length goes: sequence and offset."""
 
