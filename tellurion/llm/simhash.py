@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tellurion.llm import _spark, _text
@@ -316,6 +316,13 @@ def near_copies(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """Of each group of near_copies() the document with the smallest doc_id; rows that share its doc_id are that document."""
-    groups = near_copies(docs, **parameters).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    return docs.join(groups, docs["doc_id"].eqNullSafe(groups["kept"]), "left_semi")
+    """Of each group of copy_groups() one row: the first by doc_id (null behind all others), then by the text's and the row's hash."""
+    groups = _spark.cut(copy_groups(docs, **parameters))
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first"))
+    rows = groups.groupBy(F.col("doc_id").alias("kept"), F.col("mark").alias("kept_mark")).agg(F.count("*").alias("many"))
+    kept = _spark.cut(first.join(rows, F.col("first.doc_id").eqNullSafe(F.col("kept")) & (F.col("first.mark") == F.col("kept_mark"))).select("kept", "kept_mark", "many"))
+    held = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept"]) & (F.xxhash64(docs["text"]) == kept["kept_mark"]))
+    # rows that share doc_id and text are few; of them the one with the least hash of all columns
+    least = Window.partitionBy("kept", "kept_mark").orderBy(F.xxhash64(*[docs[c] for c in docs.columns]))
+    again = held.where("many > 1").withColumn("nth", F.row_number().over(least)).where("nth = 1").select(*docs.columns)
+    return held.where("many = 1").select(*docs.columns).union(again)

@@ -52,3 +52,10 @@ def test_a_line_repeated_many_times_makes_no_other_set(spark):
 
 def test_long_texts_are_decided_on_whole_sets(spark):
     check(spark, border(7, 1500, 80, (140, 180)))
+
+
+def test_one_row_of_each_group_is_kept(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(None, a), (None, a + " end"), (3, b), (3, b), (3, "alone here"), (4, b + " end"), (4, "other words"), (None, None), (None, "")]
+    found = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 5 and {(r.doc_id, r.text) for r in found} >= {(3, b), (3, "alone here"), (4, "other words")}
