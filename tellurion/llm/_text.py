@@ -1,38 +1,62 @@
 """Vectorised words of Arrow text columns: boundaries and 64-bit hashes, without a Python object a word.
 
-A word is a maximal run of bytes outside {0x20, 0x09..0x0D}. Its hash is a polynomial over random byte values
-modulo 2**64, taken from prefix sums; two different words of up to 1000 bytes share it with a probability below 2**-50.
+A word is a maximal run of bytes outside {0x20, 0x09..0x0D}. Its hash takes eight bytes a round with the rounds of XXH64, for all words at once;
+long words go to XXH64 itself. No arithmetic of the bytes' places is involved, so no rearrangement of equal parts cancels out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SEGMENT = 1 << 20
-_random = np.random.Generator(np.random.PCG64(20240229))
-BYTE_VALUE = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = int(_random.integers(1, 2**61, dtype=np.uint64)) * 8 + 5
-INVERSE = pow(BASE, -1, 2**64)
+#: Bytes of a word from which on XXH64 is called for it.
+LONG = 160
+SEED, OTHER_SEED = 0x5851F42D4C957F2D, 0x14057B7EF767814F
+P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(9, 14)]] = True
 SYMBOL = np.zeros(256, np.int32)
 SYMBOL[list(b"#*$%&|<>")] = 1
-_powers: dict[str, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i up to n."""
-    if len(_powers.get("up", ())) <= n:
-        size = max(2 * SEGMENT, n + 1)
-        for name, base in (("up", BASE), ("down", INVERSE)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers[name] = np.cumprod(x)
-    return _powers["up"], _powers["down"]
+_kept: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    """What a worker keeps between the tasks of one operator."""
+    return _kept.setdefault(name, {})
+
+
+def tidy(run: Callable, keeps: str = "") -> Callable:
+    """A task's function that first drops what other operators kept in this worker, and gives memory back at its end."""
+
+    @functools.wraps(run)
+    def whole(*arguments):
+        for name, held in _kept.items():
+            if name != keeps:
+                held.clear()
+        try:
+            yield from run(*arguments)
+        finally:
+            give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -92,6 +116,7 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray  # of each row, and the end: index of its first word
+    check: np.ndarray | None = None  # a second hash, independent of the first
 
     def __len__(self) -> int:
         return len(self.start)
@@ -101,27 +126,34 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-class Hashes:
-    """Hashes of byte ranges of one segment."""
-
-    def __init__(self, part: np.ndarray):
-        up, self.down = powers(len(part))
-        self.prefix = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[part] * up[: len(part)], out=self.prefix[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Also tells ranges of different length apart."""
-        return mix((self.prefix[end] - self.prefix[start]) * self.down[start] + (end - start).astype(np.uint64))
-
-    def rolling(self, width: int) -> np.ndarray:
-        """For each i from width on, of the width bytes before i."""
-        n = len(self.prefix) - 1 - width
-        return mix((self.prefix[width:] - self.prefix[:-width]) * self.down[: n + 1]) if n >= 0 else np.zeros(0, np.uint64)
-
-
-def words(data: np.ndarray, offsets: np.ndarray, each=None) -> Words:
-    """Words of rows that lie one behind the other. each(at, to, Hashes) sees every segment."""
-    starts, ends, hashes = [], [], []
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def hashes(part: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """Of byte ranges of one segment; also tells ranges of different length apart."""
+    lanes = np.ndarray((len(part) + 1,), "<u8", np.concatenate((part, np.zeros(8, np.uint8))), strides=(1,))
+    h = length.astype(np.uint64) * P5 + np.uint64(seed)
+    live, rest, at = slice(None), length, start
+    for k in range(LONG // 8):
+        k1 = lanes[at] & LOW_BYTES[np.minimum(rest, 8)]
+        h[live] = _rotated(h[live] ^ (_rotated(k1 * P2, 31) * P1), 27) * P1 + P4
+        more = np.flatnonzero(rest > 8)
+        if not len(more):
+            break
+        live = more if k == 0 else live[more]
+        rest, at = rest[more] - 8, at[more] + 8
+    h = (h ^ (h >> np.uint64(33))) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    h ^= h >> np.uint64(32)
+    for i in np.flatnonzero(length > LONG).tolist():
+        h[i] = xxhash.xxh64_intdigest(part[start[i] : start[i] + length[i]].tobytes(), seed)
+    return h
+
+
+def words(data: np.ndarray, offsets: np.ndarray, check: bool = False) -> Words:
+    """Words of rows that lie one behind the other."""
+    starts, ends, found, checks = [], [], [], []
     for at, to in segments(data, offsets):
         part = data[at:to]
         solid = ~SPACE[part]
@@ -131,17 +163,16 @@ def words(data: np.ndarray, offsets: np.ndarray, each=None) -> Words:
         cut[0] = cut[-1] = True
         s = np.flatnonzero(solid & (cut[:-1] | ~np.concatenate(([False], solid[:-1]))))
         e = np.flatnonzero(solid & (cut[1:] | ~np.concatenate((solid[1:], [False])))) + 1
-        hasher = Hashes(part)
         starts.append(s + at)
         ends.append(e + at)
-        hashes.append(hasher.of(s, e))
-        if each is not None:
-            each(at, to, hasher)
+        found.append(hashes(part, s, e - s))
+        if check:
+            checks.append(hashes(part, s, e - s, OTHER_SEED))
     if not starts:
-        none = np.zeros(0, np.int64)
-        return Words(none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
+        none, nothing = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return Words(none, none, nothing, np.zeros(len(offsets), np.int64), nothing if check else None)
     start = np.concatenate(starts)
-    return Words(start, np.concatenate(ends), np.concatenate(hashes), np.searchsorted(start, offsets, "left"))
+    return Words(start, np.concatenate(ends), np.concatenate(found), np.searchsorted(start, offsets, "left"), np.concatenate(checks) if check else None)
 
 
 def covered(n: int, start: np.ndarray, length: int) -> np.ndarray:

@@ -6,8 +6,10 @@ and reused wherever the chunk returns; what touches a join is re-encoded as whol
 exactly: with this tokenizer no merge, match of its pattern, composition or case rule reaches across ASCII white space.
 A tokenizers file of another make has no such guarantee; its texts go to the library whole.
 
+Words and chunks are known by two independent 64-bit hashes of their bytes, both of which must agree.
+
 Null texts count as empty; empty texts give no ids. Repeated rows are encoded alike. Columns other than the named ones are
-not looked at. The tables of a Python worker hold at most MOST_WORDS entries and MOST_IDS ids, then start anew.
+not looked at. The tables of a Python worker hold about MOST_WORDS words, MOST_CHUNKS chunks and MOST_IDS ids each, then start anew.
 """
 
 from __future__ import annotations
@@ -20,17 +22,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tellurion.llm import _text
 
-MOST_WORDS, MOST_IDS, MOST_PIECES = 1 << 21, 12 << 20, 400_000
-ROLLING, CHUNK_BITS = 16, 9
+MOST_WORDS, MOST_CHUNKS, MOST_IDS, MOST_PIECES = 1 << 20, 1 << 17, 4 << 20, 300_000
+#: Bytes that decide a cut, and the logarithm of a chunk's mean length.
+ROLLING, CHUNK_BITS = 16, 7
+GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, 256, dtype=np.uint64)
+GROUP = 2 << 20
 PLAIN = regex.compile(r"[\n\x21-\x7e¡-ɏ]*")
 MERGE_BITS, NEVER, GOLDEN = 18, 2**31 - 1, np.uint64(0x9E3779B97F4A7C15)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CHUNK_SALT = np.uint64(0x5851F42D4C957F2D)
 
 
 def byte_letters() -> list[str]:
@@ -40,8 +45,23 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where chunks begin: at each row's start, and where the ROLLING bytes before, of the same row, say so."""
+    found = [offsets[:-1]]
+    for at in range(0, len(data), _text.SEGMENT):
+        h = GEAR[data[max(0, at - ROLLING + 1) : at + _text.SEGMENT]]
+        width = 1
+        while width < ROLLING:
+            h = h[width:] + (h[:-width] << np.uint64(width)) if len(h) > width else h[:0]
+            width *= 2
+        edge = np.flatnonzero(h >> np.uint64(64 - CHUNK_BITS) == 0) + max(0, at - ROLLING + 1) + ROLLING
+        found.append(edge[edge - offsets[np.searchsorted(offsets, edge, "right") - 1] >= ROLLING])
+    begin = np.unique(np.concatenate(found))
+    return begin[begin < len(data)]
+
+
 class Table:
-    """From 64-bit keys to runs of ids. Open addressing, looked up by whole arrays."""
+    """From pairs of 64-bit keys to runs of ids. Open addressing, looked up by whole arrays."""
 
     def __init__(self) -> None:
         self.clear()
@@ -52,36 +72,36 @@ class Table:
         self.offset, self.length, self.ids = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32), np.zeros(1 << 16, np.uint32)
 
     def _slots(self) -> None:
-        self.key, self.value = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+        self.key, self.check, self.value = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The entry of each key, -1 where there is none."""
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The entry of each pair, -1 where there is none."""
         mask = (1 << self.bits) - 1
         slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
         out = self.value[slot]
-        rest = np.flatnonzero((out >= 0) & (self.key[slot] != keys))
+        rest = np.flatnonzero((out >= 0) & ((self.key[slot] != keys) | (self.check[slot] != checks)))
         while len(rest):
             at = (slot[rest] + 1) & mask
             slot[rest] = at
             out[rest] = v = self.value[at]
-            rest = rest[(v >= 0) & (self.key[at] != keys[rest])]
+            rest = rest[(v >= 0) & ((self.key[at] != keys[rest]) | (self.check[at] != checks[rest]))]
         return out
 
-    def _place(self, keys: np.ndarray, entries: np.ndarray) -> None:
-        """Keys differ from each other and from those that are there."""
+    def _place(self, keys: np.ndarray, checks: np.ndarray, entries: np.ndarray) -> None:
+        """Pairs differ from each other and from those that are there."""
         mask = (1 << self.bits) - 1
         slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
         while len(slot):
             free = self.value[slot] < 0
             _, one = np.unique(slot[free], return_index=True)
             own = np.flatnonzero(free)[one]
-            self.key[slot[own]], self.value[slot[own]] = keys[own], entries[own]
+            self.key[slot[own]], self.check[slot[own]], self.value[slot[own]] = keys[own], checks[own], entries[own]
             left = np.ones(len(slot), bool)
             left[own] = False
-            keys, entries, slot = keys[left], entries[left], (slot[left] + 1) & mask
+            keys, checks, entries, slot = keys[left], checks[left], entries[left], (slot[left] + 1) & mask
 
-    def add(self, keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """New keys, each once, with their runs one behind the other."""
+    def add(self, keys: np.ndarray, checks: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """New pairs, each once, with their runs one behind the other."""
         n, total = len(keys), len(ids)
         entries = np.arange(self.count, self.count + n, dtype=np.int32)
         while self.count + n > len(self.offset):
@@ -92,18 +112,16 @@ class Table:
         self.offset[entries] = self.n_ids + np.cumsum(lengths) - lengths
         self.ids[self.n_ids : self.n_ids + total] = ids
         self.n_ids += total
-        old = self.count
         self.count += n
         if 2 * self.count > len(self.key):
-            held, known = self.value[self.value >= 0], self.key[self.value >= 0]
+            there = self.value >= 0
+            held, known, checked = self.value[there], self.key[there], self.check[there]
             while 2 * self.count > 1 << self.bits:
                 self.bits += 1
             self._slots()
-            self._place(known, held)
+            self._place(known, checked, held)
         if n:
-            self._place(keys, entries)
-        assert old + n == self.count
-        return entries
+            self._place(keys, checks, entries)
 
     def runs(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the entries one behind the other, and how many each has."""
@@ -130,7 +148,7 @@ class Encoder:
         )
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.pattern, self.letters = regex.compile("\\n|" + PATTERN), byte_letters()
-        self.table = Table()
+        self.table, self.chunks = Table(), Table()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.token = [""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
@@ -249,21 +267,21 @@ class Encoder:
 
     def entries(self, data: np.ndarray, w: _text.Words, take: np.ndarray | None = None) -> np.ndarray:
         """The table's entry of each word; those that are new are encoded, each once."""
-        start, end, key = (w.start, w.end, w.hash) if take is None else (w.start[take], w.end[take], w.hash[take])
-        out = self.table.find(key)
+        start, end, key, check = (w.start, w.end, w.hash, w.check) if take is None else (w.start[take], w.end[take], w.hash[take], w.check[take])
+        out = self.table.find(key, check)
         new = np.flatnonzero(out < 0)
         if len(new):
-            keys, one = np.unique(key[new], return_index=True)
-            one = new[one]
+            one = new[once(key[new], check[new])]
             all_bytes = data.tobytes()
             ids, lengths = self.words([all_bytes[a:b] for a, b in zip(start[one].tolist(), end[one].tolist())])
-            self.table.add(keys, lengths, ids)
-            out[new] = self.table.find(key[new])
+            self.table.add(key[one], check[one], lengths, ids)
+            out[new] = self.table.find(key[new], check[new])
         return out
 
     def _room(self) -> None:
-        if self.table.count > MOST_WORDS or self.table.n_ids > MOST_IDS:
-            self.table.clear()
+        for table, most in ((self.table, MOST_WORDS), (self.chunks, MOST_CHUNKS)):
+            if table.count > most or table.n_ids > MOST_IDS:
+                table.clear()
 
     def whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
@@ -276,7 +294,7 @@ class Encoder:
         if not self.by_words:
             return self.whole(data, offsets)
         self._room()
-        w = _text.words(data, offsets)
+        w = _text.words(data, offsets, True)
         ids, lengths = self.table.runs(self.entries(data, w))
         return ids, np.concatenate(([0], np.cumsum(lengths)))[w.first]
 
@@ -285,53 +303,44 @@ class Encoder:
         if not self.by_words:
             return self.whole(data, offsets)
         self._room()
-        cuts, keys = [], []
-
-        def chunk(at: int, to: int, hasher: _text.Hashes) -> None:
-            edges = np.flatnonzero((hasher.rolling(ROLLING) & np.uint64((1 << CHUNK_BITS) - 1)) == 0) + ROLLING
-            rows = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, to, "right")] - at
-            edges = np.unique(np.concatenate((edges, rows, [0, to - at])))
-            cuts.append(edges[:-1] + at)
-            keys.append(hasher.of(edges[:-1], edges[1:]) ^ CHUNK_SALT)
-
-        w = _text.words(data, offsets, chunk)
+        w = _text.words(data, offsets, True)
         if not len(w):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        begin, key = np.concatenate(cuts), np.concatenate(keys)
-        end = np.concatenate((begin[1:], offsets[-1:]))
+        begin = cuts(data, offsets)
+        end = np.append(begin[1:], len(data))
+        raw = data.tobytes()
+        content = [raw[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+        key = np.fromiter(map(xxhash.xxh64_intdigest, content), np.uint64, len(content))
+        check = np.fromiter(map(xxhash.xxh3_64_intdigest, content), np.uint64, len(content))
         lies = np.searchsorted(begin, w.start, "right") - 1
         inner = (w.start > begin[lies]) & (w.end < end[lies])
-        known = self.table.find(key)
+        known = self.chunks.find(key, check)
         new = np.flatnonzero(known < 0)
         if len(new):
-            fresh, one = np.unique(key[new], return_index=True)
+            one = np.sort(new[once(key[new], check[new])])
             owner = np.full(len(begin), -1)
-            owner[new[one]] = np.arange(len(one))
+            owner[one] = np.arange(len(one))
             mine = np.flatnonzero(inner & (owner[lies] >= 0))
             ids, lengths = self.table.runs(self.entries(data, w, mine))
-            order = owner[lies[mine]]
-            sizes = np.bincount(order, lengths, len(one)).astype(np.int64)
-            # the words lie by chunk as the text has them; the entries go by key
-            place = np.argsort(new[one], kind="stable")
-            at = np.zeros(len(one), np.int64)
-            at[place] = np.cumsum(sizes[place]) - sizes[place]
-            total = np.cumsum(sizes)
-            take = np.repeat(at - (total - sizes), sizes) + np.arange(int(total[-1]))
-            self.table.add(fresh, sizes.astype(np.int32), ids[take])
-            known[new] = self.table.find(key[new])
+            sizes = np.bincount(owner[lies[mine]], lengths, len(one)).astype(np.int64)
+            self.chunks.add(key[one], check[one], sizes.astype(np.int32), ids)
+            known[new] = self.chunks.find(key[new], check[new])
         joins = np.flatnonzero(~inner)
-        entry = np.concatenate((known, self.entries(data, w, joins)))
-        # a chunk's inside goes behind the word that touches its front: by place, the inside has the place after its start
-        first_inner = np.full(len(begin), -1, np.int64)
+        # the runs of chunks and of the words at joins, in the order of the text: a chunk's inside goes where its first inner word stands
         inside = np.flatnonzero(inner)
-        first_inner[lies[inside][::-1]] = w.start[inside][::-1]
-        first_inner = np.where(first_inner < 0, begin, first_inner)
-        place = np.concatenate((first_inner, w.start[joins]))
-        filled = np.concatenate((self.table.length[known] > 0, np.ones(len(joins), bool)))
-        entry, place = entry[filled], place[filled]
+        place = begin.copy()
+        place[lies[inside][::-1]] = w.start[inside][::-1]
+        filled = np.flatnonzero(self.chunks.length[known] > 0)
+        chunk_ids, chunk_lengths = self.chunks.runs(known[filled])
+        word_ids, word_lengths = self.table.runs(self.entries(data, w, joins))
+        place = np.concatenate((place[filled], w.start[joins]))
         order = np.argsort(place, kind="stable")
-        ids, lengths = self.table.runs(entry[order])
-        return ids, np.concatenate(([0], np.cumsum(lengths)))[np.searchsorted(place[order], offsets, "left")]
+        lengths = np.concatenate((chunk_lengths, word_lengths))
+        begun = (np.cumsum(lengths) - lengths)[order]
+        lengths = lengths[order]
+        total = np.cumsum(lengths)
+        ids = np.concatenate((chunk_ids, word_ids))[np.repeat(begun - (total - lengths), lengths) + np.arange(int(total[-1]) if len(total) else 0)]
+        return ids, np.concatenate(([0], total))[np.searchsorted(place[order], offsets, "left")]
 
     def decode(self, ids: list[int]) -> str:
         if not self.joins_by_space:
@@ -339,7 +348,14 @@ class Encoder:
         return " ".join(map(self.token.__getitem__, ids))
 
 
-_encoders: dict[str, Encoder] = {}
+def once(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """The first place of each pair."""
+    order = np.lexsort((checks, keys))
+    k, c = keys[order], checks[order]
+    return order[np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])))]
+
+
+_encoders: dict[str, Encoder] = _text.kept("encoding")
 
 
 def encoder(path: str) -> Encoder:
@@ -353,7 +369,7 @@ def encoded(path: str, batches: Iterator[pa.RecordBatch], text: str, chunks: boo
     tool = encoder(path)
     for batch in batches:
         data, offsets = _text.buffers(batch.column(batch.schema.get_field_index(text)))
-        for i, j in _text.groups(offsets):
+        for i, j in _text.groups(offsets, GROUP):
             part = offsets[i : j + 1]
             ids, counts = (tool.encode_chunks if chunks else tool.encode)(data[part[0] : part[-1]], part - part[0])
             yield batch.slice(i, j - i), ids, counts
@@ -382,4 +398,4 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_column: str = "doc_id",
             names = ["doc_id", "n_tokens", *(x.split()[0] for x in rest.split(", "))]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(counts), pa.int64()), pa.array(runs, pa.binary() if with_ids else pa.string()), pa.array(texts, pa.string())], names)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, {rest}")
+    return docs.mapInArrow(_text.tidy(run, "encoding"), f"doc_id {kind}, n_tokens bigint, {rest}")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tellurion.llm import _spark, plans
+from tellurion.llm import _spark, _text, plans
 from tellurion.llm.encoding import encoded
 
 #: Rows of the table of ranks that are sent to all executors; with more, it is joined by a shuffle.
@@ -60,7 +60,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, separator: int = 0, w
                 columns, names = [*columns, pa.array(cut, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint" + ", ids binary" * with_ids)
+    return docs.mapInArrow(_text.tidy(run, "encoding"), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint" + ", ids binary" * with_ids)
 
 
 def place(found: DataFrame, plan: Callable[[dict[int, int], int], plans.Plan], capacity: int) -> DataFrame:

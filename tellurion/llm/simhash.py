@@ -4,12 +4,16 @@ Fingerprints: of the XXH64 hashes of a text's word shingles (A-Z lower-cased), a
 
 Groups: equal fingerprints are one node, however many documents carry them. The nodes' Hamming distances to a fixed set of
 reference fingerprints, the pivots, are tabulated. By the triangle inequality two nodes within `radius` bits differ by
-`radius` at most in every coordinate of the table, so candidates are discarded by their largest coordinate difference before
-the survivors' distance is verified. Candidates meet in cells: where two fingerprints differ in `radius` bits at most, they agree
-in all but `radius` of the blocks that their bits are cut into; a cell is such a choice of blocks together with a band of the first
-pivot's coordinate, so that a crowded choice is split by the table itself. All pairs within the radius are found. Links are then
+`radius` at most in every coordinate of the table, so pairs are discarded by their largest coordinate difference before
+the survivors' distance is verified. Pairs meet in cells: where two fingerprints differ in `radius` bits at most, they agree
+in all but `radius` of the blocks that their bits are cut into; a cell is such a choice of blocks together with a band of each of the first KEY_PIVOTS
+coordinates, where one side of a pair is in all bands that `radius` reaches. So a crowded choice is split by the table itself. All pairs within the radius are found. Links are then
 closed to components, rounds of joins that each write their state to the shared folder.
 
+copy_groups() links texts by the likeness of their shingle sets and uses a pivot table of sets: the reference sets are the shingles whose hash has a
+given bit, so a set's Hamming distance to one of them is, but for a constant, its number of shingles less twice SimHash's vote for that bit. Two sets of sizes m and n that
+are alike by s differ in (m + n)(1 - s)/(1 + s) shingles at most, and so in every coordinate: what differs by more is discarded before whole sets are compared.
+
 Null text counts as empty: fingerprint zero, linked like any other. A null doc_id is a document of its own that is never the
 representative of one with an id. Repeated rows fall into one component. Empty tables give no rows; further columns are ignored.
 """
@@ -32,7 +36,13 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
 #: The reference fingerprints: fixed, spread at random, so that every cluster and every run has the same table.
 PIVOTS = [int(x) for x in np.random.Generator(np.random.PCG64(64)).integers(-(2**63), 2**63 - 1, 16)]
-BAND = 8
+BAND, KEY_PIVOTS = 8, 2
+#: Reference sets of copy_groups(): one for each of so many bits of a shingle's hash.
+SET_PIVOTS = 32
+#: Smallest hashes, one for each of so many orders of all shingles, by which copy_groups() first meets crowds of copies.
+LEAST_SALTS = [np.uint64(x) for x in np.random.Generator(np.random.PCG64(5)).integers(0, 2**63, 8)]
+#: Bytes of a shingle's hash that whole sets are compared by.
+SET_BYTES = 5
 #: Texts that the common shingles are counted in, and how many shingles are held; an order, right whatever they are.
 COMMON_SAMPLE, MOST_COMMON = 16_000, 1 << 18
 MARK_BITS = 24
@@ -59,10 +69,10 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np
     return np.fromiter([digest(raw[a:b], SEED) for a, b in zip(begin[at].tolist(), (begin[last] + length[last] - 1).tolist())], np.uint64, len(at)), counts
 
 
-def fingerprints_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Majority bits of each row's hashes. Eight bits of a hash are counted in the bytes of one word, 255 hashes at a time."""
+def votes_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many of each row's hashes have each bit. Eight bits of a hash are counted in the bytes of one word, 255 hashes at a time."""
     n = np.diff(counts)
-    out = np.zeros(len(n), np.uint64)
+    out = np.zeros((len(n), 64), np.int64)
     rows = np.flatnonzero(n)
     if not len(rows):
         return out
@@ -74,13 +84,16 @@ def fingerprints_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     for k in range(8):
         lane = (hashes >> np.uint64(k)) & np.uint64(0x0101010101010101)
         sums = np.add.reduceat(lane, starts).view(np.uint8).reshape(-1, 8)
-        votes = np.add.reduceat(sums.astype(np.int64), first, axis=0)
-        bits = (2 * votes > n[rows][:, None]).astype(np.uint64)
-        for j in range(8):
-            out[rows] |= bits[:, j] << np.uint64(8 * j + k)
+        out[rows, k::8] = np.add.reduceat(sums.astype(np.int64), first, axis=0)
     return out
 
 
+def fingerprints_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Majority bits of each row's hashes."""
+    bits = 2 * votes_of(hashes, counts) > np.diff(counts)[:, None]
+    return (bits.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id and fp, the fingerprint as a signed 64-bit number."""
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
@@ -94,7 +107,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", t
                 found = fingerprints_of(*shingle_hashes(data[part[0] : part[-1]], part - part[0], shingle))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.mapInArrow(_text.tidy(run), f"doc_id {kind}, fp bigint")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -111,17 +124,18 @@ def blocks(radius: int, extra: int = 2, bits: int = 64) -> list[tuple[int, ...]]
 
 def near_pairs(nodes: DataFrame, radius: int, band: int = BAND) -> DataFrame:
     """fp_a < fp_b for all pairs of the different fingerprints in column fp within `radius` bits, by the pivot table."""
-    table = nodes.select("fp", F.array(*[distance(F.col("fp"), F.lit(p)).cast("tinyint") for p in PIVOTS]).alias("coords"))
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(blocks(radius))]))
-    cells = table.select("fp", "coords", keys.alias("key")).select("fp", "coords", "key.*")
-    first = F.col("coords")[0].cast("int")
-    one = cells.select(F.col("fp").alias("fp_a"), F.col("coords").alias("a"), "choice", "bits", F.floor(first / band).cast("int").alias("band"))
-    bands = F.sequence(F.floor(F.greatest(first - radius, F.lit(0)) / band).cast("int"), F.floor((first + radius) / band).cast("int"))
-    other = cells.select(F.col("fp").alias("fp_b"), F.col("coords").alias("b"), "choice", "bits", F.explode(bands).alias("band"))
-    apart = reduce(F.greatest, [F.abs(F.col("a")[i] - F.col("b")[i]) for i in range(len(PIVOTS))])
+    cells = nodes.select("fp", keys.alias("key")).select("fp", "key.*")
+    names = [f"band_{k}" for k in range(KEY_PIVOTS)]
+    one, other = cells.withColumnRenamed("fp", "fp_a"), cells.withColumnRenamed("fp", "fp_b")
+    for name, pivot in zip(names, PIVOTS):
+        one = one.withColumn(name, F.floor(distance(F.col("fp_a"), F.lit(pivot)) / band).cast("int"))
+        at = distance(F.col("fp_b"), F.lit(pivot))
+        other = other.withColumn(name, F.explode(F.sequence(F.floor(F.greatest(at - radius, F.lit(0)) / band).cast("int"), F.floor((at + radius) / band).cast("int"))))
+    # a coordinate of the table costs less to form anew than to carry through the shuffle
+    apart = reduce(F.greatest, [F.abs(distance(F.col("fp_a"), F.lit(p)) - distance(F.col("fp_b"), F.lit(p))) for p in PIVOTS])
     close = (F.col("fp_a") < F.col("fp_b")) & (apart <= radius) & (distance(F.col("fp_a"), F.col("fp_b")) <= radius)
-    joined = one.join(other, ["choice", "bits", "band"]).where(close)
-    return joined.select("fp_a", "fp_b").distinct()
+    return one.join(other, ["choice", "bits", *names]).where(close).select("fp_a", "fp_b").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -206,7 +220,7 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
                 found, many = np.unique(hashes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(many)], ["token", "n"])
 
-    counted = drawn.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 3")
+    counted = drawn.mapInArrow(_text.tidy(run), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 3")
     top = counted.orderBy(F.desc("n"), "token").limit(MOST_COMMON).toArrow()
     tokens, many = top["token"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
     order = np.argsort(tokens)
@@ -219,7 +233,7 @@ def prefix_length(n, share: float):
 
 
 def prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id; mark, of the text; key, of the shingle set: equal for equal sets; n, its size; prefix, its first shingles: the rare before the common."""
+    """doc_id; mark, of the text; key, of the shingle set: equal for equal sets; n, its size; coords, its row of the pivot table; least, its smallest hashes; prefix, its first shingles: the rare before the common."""
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
     docs = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -235,33 +249,59 @@ def prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                     at = np.minimum(np.searchsorted(tokens, hashes), len(tokens) - 1)
                     level = np.where(tokens[at] == hashes, many[at], 0)
                     hashes = hashes[np.lexsort((level, np.repeat(np.arange(len(n)), n)))]
+                coords = (n[:, None] - 2 * votes_of(hashes, counts)[:, :: 64 // SET_PIVOTS]).astype(np.int32)
+                coords = pa.ListArray.from_arrays(pa.array(np.arange(0, coords.size + 1, SET_PIVOTS, dtype=np.int32)), pa.array(coords.ravel()))
+                some = np.flatnonzero(n)
+                smallest = np.stack([np.minimum.reduceat(_text.mix(hashes ^ salt), counts[some]) for salt in LEAST_SALTS], 1) if len(some) else np.zeros((0, len(LEAST_SALTS)), np.uint64)
+                bounds = np.concatenate(([0], np.cumsum(np.where(n > 0, len(LEAST_SALTS), 0))))
+                least = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(smallest.ravel().view(np.int64)))
                 taken = prefix_length(n, similarity)
                 ends = np.concatenate(([0], np.cumsum(taken)))
                 first = hashes[np.repeat(counts[:-1] - ends[:-1], taken) + np.arange(ends[-1])]
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(first.view(np.int64)))
                 own = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(keys.view(np.int64)), pa.array(n), lists], ["doc_id", "mark", "key", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(keys.view(np.int64)), pa.array(n), coords, least, lists], ["doc_id", "mark", "key", "n", "coords", "least", "prefix"])
+
+    return docs.mapInArrow(_text.tidy(run), f"doc_id {kind}, mark bigint, key bigint, n bigint, coords array<int>, least array<bigint>, prefix array<bigint>")
 
-    return docs.mapInArrow(run, f"doc_id {kind}, mark bigint, key bigint, n bigint, prefix array<bigint>")
+
+def first_candidates(nodes: DataFrame) -> DataFrame:
+    """a and b: each set with the first of those that share a smallest hash with it, so a crowd costs a pair for each of its members."""
+    rows = nodes.select("key", F.posexplode("least").alias("at", "value"))
+    heads = rows.groupBy("at", "value").agg(F.min("key").alias("b"), F.count("*").alias("many")).where("many > 1").drop("many")
+    return rows.join(heads, ["at", "value"]).where("key <> b").select(F.col("key").alias("a"), "b").distinct()
 
 
 def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
-    """a and b for all pairs of sets that may be alike by `similarity` or more, from columns key, n and prefix.
+    """a and b for all pairs of sets of different `root` that may be alike by `similarity` or more, from columns key, root, n and prefix.
 
     The smaller set of such a pair holds a common shingle among its first n - 2s/(1+s) n + 1, the larger among its first n - s n + 1.
-    What lies behind a common shingle bounds the number of common ones.
+    What lies behind a common shingle bounds the number of common ones. Shingles that only sets of one root hold are left out first.
     """
     share = similarity / (1 + similarity)
-    rows = nodes.select("key", "n", F.posexplode("prefix").alias("at", "token"))
-    one = rows.where(F.col("at") <= F.col("n") - F.ceil(2 * share * F.col("n") - 1e-9)).select("token", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
-    other = rows.select("token", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    rows = nodes.select("key", "root", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token"))
+    mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    rows = _spark.table(rows.join(mixed, "token"))
+    one = rows.where(F.col("at") <= F.col("n") - F.ceil(2 * share * F.col("n") - 1e-9)).select("token", F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    other = rows.select("token", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
     sizes = (F.col("n_a") >= similarity * F.col("n_b") - 1e-9) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))))
     rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= share * (F.col("n_a") + F.col("n_b")) - 1e-9
-    return one.join(other, "token").where(sizes & rest).select("a", "b").distinct()
+    return one.join(other, "token").where(sizes & rest & (F.col("root_a") != F.col("root_b"))).select("a", "b").distinct()
+
+
+def by_pivots(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that no coordinate of the pivot table tells apart."""
+    side = lambda k: nodes.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("coords").alias(f"at_{k}"))
+    apart = F.array_max(F.zip_with("at_a", "at_b", lambda x, y: F.abs(x - y)))
+    most = (F.col("n_a") + F.col("n_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= most).select("a", "b")
 
 
 def sets_of(docs: DataFrame, marks: DataFrame, shingle: int) -> DataFrame:
-    """key and whole, the sorted shingle hashes, once for each set of the texts with those marks, and of some others."""
+    """key and whole, the first SET_BYTES of the sorted shingle hashes, once for each set of the texts with those marks, and of some others.
+
+    Which texts to look at travels as 2**MARK_BITS bits, whatever the number of texts; it saves work and decides nothing.
+    """
     bits = np.zeros(1 << MARK_BITS, bool)
     for r in marks.select(F.col("mark").bitwiseAND((1 << MARK_BITS) - 1).cast("int").alias("slot")).distinct().toArrow().to_batches():
         bits[r.column(0).to_numpy()] = True
@@ -272,41 +312,56 @@ def sets_of(docs: DataFrame, marks: DataFrame, shingle: int) -> DataFrame:
             slot = batch.column(0).to_numpy() & ((1 << MARK_BITS) - 1)
             for _, _, hashes, counts in _by_sets(batch.filter(pa.array((sent.value[slot >> 3] >> (slot & 7)) & 1 == 1)), shingle):
                 raw = hashes.astype("<u8").tobytes()
-                whole = [raw[8 * a : 8 * b] for a, b in zip(counts[:-1].tolist(), counts[1:].tolist())]
-                keys = np.array([xxhash.xxh64_intdigest(x) for x in whole], np.uint64)
+                keys = np.array([xxhash.xxh64_intdigest(raw[8 * a : 8 * b]) for a, b in zip(counts[:-1].tolist(), counts[1:].tolist())], np.uint64)
+                short = np.ascontiguousarray(hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]).tobytes()
+                whole = [short[SET_BYTES * a : SET_BYTES * b] for a, b in zip(counts[:-1].tolist(), counts[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(whole, pa.binary())], ["key", "whole"])
 
-    return docs.select(F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "key bigint, whole binary").groupBy("key").agg(F.first("whole").alias("whole"))
+    return docs.select(F.xxhash64("text").alias("mark"), "text").mapInArrow(_text.tidy(run), "key bigint, whole binary").groupBy("key").agg(F.first("whole").alias("whole"))
 
 
 def likeness(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two sets of sorted 64-bit hashes."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    both = len(np.intersect1d(x, y, True))
+    """Jaccard similarity of two sets as sets_of() has them."""
+    x, y = (np.zeros((len(v) // SET_BYTES, 8), np.uint8) for v in (a, b))
+    for rows, raw in ((x, a), (y, b)):
+        rows[:, :SET_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, SET_BYTES)
+    both = len(np.intersect1d(x.view(">u8").ravel(), y.view(">u8").ravel(), True))
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def copy_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """doc_id, mark (of the text) and root of every document; equal roots are one group.
-
-    All texts link whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates share a shingle of their
-    prefixes, which no such pair can avoid; each is then verified on the whole sets. Texts of equal sets are one node.
-    Texts without words are alike and link with each other.
-    """
-    prints = _spark.table(prefixes(docs, shingle, similarity))
-    nodes = _spark.table(prints.groupBy("key").agg(F.first("mark").alias("mark"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    pairs = _spark.cut(candidates(nodes, similarity))
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Of the pairs a, b those whose whole sets are alike, after the pivot table has discarded what it can."""
+    pairs = _spark.cut(by_pivots(pairs, nodes, similarity))
     met = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    sets = _spark.table(sets_of(docs, nodes.join(met, "key"), shingle))
+    sets = sets_of(docs, nodes.select("key", "mark").join(met, "key"), shingle)
     held = pairs.join(sets.select(F.col("key").alias("a"), F.col("whole").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("whole").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = [likeness(x, y) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                alike = [likeness(x, y) >= similarity for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    return _spark.cut(held.mapInArrow(_text.tidy(run), "a bigint, b bigint"))
 
-    roots = components(held.mapInArrow(run, "a bigint, b bigint"))
-    return prints.join(roots, prints["key"] == roots["node"], "left").select("doc_id", "mark", F.coalesce("root", "key").alias("root"))
+
+def copy_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """doc_id, mark (of the text) and root of every document; equal roots are one group.
+
+    All texts link whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Texts of equal sets are one node. Crowds of near copies
+    are met first, each member with the first one that shares a smallest hash with it; what that links needs no further pairs. Then candidates of different groups share a shingle of their
+    prefixes, which no such pair can avoid. In both, the pivot table discards those that it tells apart, and each that is left is verified on the whole sets.
+    Null texts count as empty; texts without words are alike and link with each other. A null doc_id is a document of its own.
+    """
+    prints = _spark.table(prefixes(docs, shingle, similarity))
+    nodes = _spark.table(prints.groupBy("key").agg(*[F.first(c).alias(c) for c in ("mark", "n", "coords", "least", "prefix")]))
+    links = verified(docs, nodes, first_candidates(nodes), similarity, shingle)
+    known = components(links)
+    rooted = nodes.join(known, nodes["key"] == known["node"], "left").select("key", "n", "prefix", F.coalesce("root", "key").alias("root"))
+    links = links.union(verified(docs, nodes, candidates(rooted, similarity), similarity, shingle))
+    roots = components(links)
+    return prints.select("doc_id", "mark", "key").join(roots, prints["key"] == roots["node"], "left").select("doc_id", "mark", F.coalesce("root", "key").alias("root"))
 
 
 def near_copies(docs: DataFrame, **parameters) -> DataFrame:
