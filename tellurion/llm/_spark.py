@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +18,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set, as in tests."""
+    """The shared folder that the cluster names. Where none is named a temporary one serves on a single machine; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tellurion-checkpoint-"))
     return named or context.getCheckpointDir()
 
@@ -39,9 +43,32 @@ def shards(n_bytes: int, per_shard: int = 8 << 20, least: int = 12) -> int:
     return max(least, -(-n_bytes // per_shard))
 
 
+#: Tables that table() has written and nobody has dropped yet.
+_written: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Drops, at its end, the tables written since. What was read from them must have been written elsewhere by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        drop(spark, *_written[before:])
+        del _written[before:]
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 def table(df: DataFrame) -> DataFrame:
     """Like cut(), as a compressed table: for wide rows."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tellurion-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,14 +1,13 @@
 """Quality classifier by compression. Operator 6.
 
-From a bounded sample of labelled text two zstandard dictionaries are built, of good and of bad text. A document is compressed with
-each; the difference of the sizes, divided by their sum, tells which dictionary knows its kind better. A logistic curve,
-fitted on labelled rows that the dictionaries don't hold, calibrates it to the probability of label 1; the compression ratio is its
-second term, as text that repeats itself gains nothing from either dictionary.
-
-Learnt are rows with crc32(doc_id as text) mod 3 not 1 alone, at most SAMPLE of each label. lang, source, labels and doc_id are
-no inputs of a score. Null text counts as empty; empty texts get the score that the curve has for no difference and ratio 1. A null
-doc_id is held out of nothing: held_out is false and the row isn't learnt from. Without labels of both kinds every score is 0.5.
-Repeated rows get equal scores. Further columns are ignored.
+From a bounded sample of whole labelled texts two zstandard dictionaries are trained, on good and on bad text. A document is compressed with
+each; the difference of the sizes, divided by the text's length, tells which dictionary knows its kind better. A logistic curve in this one number,
+fitted on labelled rows that the dictionaries were not trained on, calibrates it to the probability of label 1.
+
+Learnt are rows with crc32(doc_id as text) mod 3 not 1 alone: of each label at most SAMPLE rows, whole, until they reach SAMPLE_BYTES. lang, source, labels and doc_id are
+no inputs of a score. Null text counts as empty; empty texts get the score that the curve has for no difference. A null
+doc_id is held out of nothing: held_out is false and the row isn't learnt from. Without labels of both kinds, four texts each, every score is 0.5.
+Repeated rows get equal scores. Further columns are ignored, or kept by filter_documents(). Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -22,11 +21,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tellurion.llm import _sample, _text
 
-#: Labelled rows of each kind to learn from, the bytes taken of each into a dictionary, and a dictionary's size.
-SAMPLE, TAKEN, SIZE, LEVEL = 2000, 500, 220_000, 9
+#: Of each label the rows and bytes to learn from, and the size of its dictionary; the level of compression.
+SAMPLE, SAMPLE_BYTES, SIZE, LEVEL = 2000, 8 << 20, 440_000, 9
+#: Added to a text's length before it divides: what a frame costs by itself.
+FRAME = 20
 
 
 @dataclass(frozen=True)
@@ -40,19 +42,24 @@ class Model:
         return hashlib.sha1(self.good + b"|" + self.bad).hexdigest()
 
 
+def trained(texts: list[bytes], size: int) -> bytes:
+    """A dictionary of the segments that the texts share most; of too few texts, their end."""
+    try:
+        return zstandard.train_dictionary(size, texts, k=200, d=8, f=20, accel=1).as_bytes()
+    except (zstandard.ZstdError, ValueError, MemoryError):
+        return b"\n".join(texts)[-size:]
+
+
 def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
-    held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    held = zstandard.ZstdCompressionDict(content)
     held.precompute_compress(level=level)
     return zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def features(texts: list[bytes], good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> np.ndarray:
-    a = np.array([len(good.compress(x)) for x in texts], float)
-    b = np.array([len(bad.compress(x)) for x in texts], float)
-    ratio = np.minimum(a, b) / (np.array([len(x) for x in texts], float) + 20)
-    empty = np.array([not x for x in texts], bool)
-    difference = np.where(empty, 0.0, (b - a) / (a + b))
-    return np.stack([difference, np.where(empty, 1.0, ratio), difference * np.abs(difference)], 1)
+def differences(texts: list[bytes], good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> np.ndarray:
+    """Of each text the bytes that the bad dictionary needs beyond the good one, for each byte of the text."""
+    found = [(len(bad.compress(x)) - len(good.compress(x))) / (len(x) + FRAME) if x else 0.0 for x in texts]
+    return np.array(found, float)[:, None]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, pull: float = 0.5) -> np.ndarray:
@@ -79,32 +86,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, pull: float = 0.5) -> np.ndarray:
     return np.append(own, w[-1] - (own * mean).sum())
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, level: int = LEVEL) -> Model | None:
-    """None if there aren't both labels. At most 2 * sample rows come to the driver."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, level: int = LEVEL) -> Model | None:
+    """None if there aren't both labels. At most 2 * sample rows come to the driver, of sample_bytes and one text for each label."""
     known = labels.where(F.col(label).isin(0, 1) & (_sample.remainder(F.col("doc_id"), 3) != 1)).select("doc_id", F.col(label).cast("int").alias("y"))
-    drawn = _sample.sample(known, "y", F.col("doc_id"), sample, 2)
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where("text is not null").select("doc_id", "y", "text").distinct().collect()  # drawn: 2 * sample rows at most
+    drawn, _ = _sample.sample(known, "y", F.col("doc_id"), sample)
+    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where("text is not null").select("doc_id", "y", "text").distinct()  # drawn: 2 * sample rows at most
+    rows = _sample.within(texts, "y", [F.xxhash64("doc_id", F.lit("order")), F.xxhash64("text")], sample, sample_bytes).collect()
     rows.sort(key=lambda r: (hashlib.sha1(str(r["doc_id"]).encode()).digest(), r["y"], r["text"]))
     kinds = {y: [r["text"].encode() for r in rows if r["y"] == y] for y in (0, 1)}
     if min(map(len, kinds.values())) < 4:
         return None
-    held, rest = {}, {}
+    parts = {y: (texts[: len(texts) * 6 // 10], texts[len(texts) * 6 // 10 :]) for y, texts in kinds.items()}
     # dictionaries of one size: else the larger one would know more of any text
-    size = min(SIZE, *(sum(min(len(x), TAKEN) + 1 for x in texts[: max(2, len(texts) * 6 // 10)]) for texts in kinds.values()))
-    for y, texts in kinds.items():
-        taken, content = 0, []
-        for text in texts[: max(2, len(texts) * 6 // 10)]:
-            at = int.from_bytes(hashlib.sha1(text).digest()[:4], "big") % max(1, len(text) - TAKEN + 1)
-            content.append(text[at : at + TAKEN])
-            taken += 1
-            if sum(map(len, content)) >= size:
-                break
-        held[y], rest[y] = b"\n".join(content)[:size], texts[taken:]
-    x = features(rest[1] + rest[0], _compressor(held[1], level), _compressor(held[0], level))
-    return Model(held[1], held[0], tuple(_logistic(x, np.array([1.0] * len(rest[1]) + [0.0] * len(rest[0]))).tolist()))
+    size = max(1024, min(SIZE, *(sum(map(len, first)) for first, _ in parts.values())))
+    good, bad = (trained(parts[y][0], size) for y in (1, 0))
+    x = differences(parts[1][1] + parts[0][1], _compressor(good, level), _compressor(bad, level))
+    return Model(good, bad, tuple(_logistic(x, np.array([1.0] * len(parts[1][1]) + [0.0] * len(parts[0][1]))).tolist()))
 
 
-_ready: dict[tuple[str, int], tuple] = {}
+_ready: dict[tuple[str, int], tuple] = _text.kept("classifier")
 
 
 def _compressors(model: Model, level: int) -> tuple:
@@ -115,40 +115,37 @@ def _compressors(model: Model, level: int) -> tuple:
     return _ready[key]
 
 
-def score(docs: DataFrame, model: Model | None, keep: list[str], text_column: str = "text", level: int = LEVEL) -> DataFrame:
-    """The columns to keep, and score."""
-    docs = docs.select(*keep, F.col(text_column).alias("__text"))
+def score(docs: DataFrame, model: Model | None, whole: bool = False, level: int = LEVEL) -> DataFrame:
+    """doc_id and score; or score and the struct `row` of all columns."""
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) if whole else docs.select("doc_id", "text")
+    kept = docs.schema[0]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of SIZE bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = _text.buffers(batch.column(batch.num_columns - 1))
-            for i, j in _text.groups(offsets):
+            data, offsets = _text.buffers(batch.column(0).field("text") if whole else batch.column(1))
+            for i, j in _text.groups(offsets, 2 << 20):
                 n = j - i
                 if sent.value is None:
                     found = np.full(n, 0.5)
                 else:
                     part = offsets[i : j + 1] - offsets[i]
                     raw = data[offsets[i] : offsets[j]].tobytes()
-                    x = features([raw[a:b] for a, b in zip(part[:-1].tolist(), part[1:].tolist())], *_compressors(sent.value, level))
+                    x = differences([raw[a:b] for a, b in zip(part[:-1].tolist(), part[1:].tolist())], *_compressors(sent.value, level))
                     w = np.array(sent.value.weights)
                     found = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-                own = batch.slice(i, n)
-                yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(found)], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(found)], [kept.name, "score"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "__text"]
-    return docs.mapInArrow(run, ", ".join([*fields, "score double"]))
+    return docs.mapInArrow(_text.tidy(run, "classifier"), T.StructType([kept, T.StructField("score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     """Operator 6: doc_id, held_out, score, predicted of every document."""
     model = fit(docs, labels, **parameters)
     held_out = F.coalesce(_sample.remainder(F.col("doc_id"), 3) == 1, F.lit(False))
-    return score(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def filter_documents(docs: DataFrame, learn: DataFrame, labels: DataFrame, least: float = 0.5, **parameters) -> DataFrame:
     """The documents that score `least` or more, with their columns. The model is learnt from `learn`."""
-    model = fit(learn, labels, **parameters)
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("__t"))
-    return score(packed, model, ["row"], "__t").where(F.col("score") >= least).select("row.*")
+    return score(docs, fit(learn, labels, **parameters), whole=True).where(F.col("score") >= least).select("row.*")

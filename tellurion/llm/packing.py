@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from tellurion.llm.encoding import encoded
 
 #: Rows of the table of ranks that are sent to all executors; with more, it is joined by a shuffle.
 MOST_RANKS = 200_000
+#: Sequences in a file of write_matrices().
+ROWS_A_FILE = 2048
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, separator: int = 0, with_ids: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -79,7 +82,7 @@ def place(found: DataFrame, plan: Callable[[dict[int, int], int], plans.Plan], c
             sequence, offset = slots.of(batch.column("length").to_numpy(), batch.column("rank").to_numpy())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, ", ".join([*fields, "sequence_id bigint", "offset bigint"]))
+    return ranked.mapInArrow(_text.tidy(run), ", ".join([*fields, "sequence_id bigint", "offset bigint"]))
 
 
 def pack_by_configurations(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int = 0, with_ids: bool = False, **columns: str) -> DataFrame:
@@ -131,33 +134,43 @@ def pack_matrices(docs: DataFrame, tokenizer: str, capacity: int = 2048, separat
         if held is not None:
             yield rows(held.combine_chunks())
 
-    return placed.mapInArrow(run, f"sequence_id bigint, n_tokens bigint, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<{kind}>, pieces array<int>, starts array<bigint>")
+    return placed.mapInArrow(_text.tidy(run), f"sequence_id bigint, n_tokens bigint, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<{kind}>, pieces array<int>, starts array<bigint>")
 
 
 def write_matrices(packed: DataFrame, folder: str, capacity: int = 2048) -> DataFrame:
     """Writes what pack_matrices returns into a folder that all executors share: of each task an id matrix, the cumulative
-    lengths and the position resets, as .npy files. Returns their manifest. A task that is run again writes the same names anew."""
+    lengths and the position resets, as .npy files of ROWS_A_FILE sequences. Returns their manifest. A task that is run again writes the same names anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
-        ids, ends, resets, sequences = [], [], [], []
+        held: list[pa.RecordBatch] = []
+        n_files = 0
+
+        def write() -> pa.RecordBatch:
+            nonlocal n_files
+            rows = pa.Table.from_batches(held)
+            os.makedirs(folder, exist_ok=True)
+            name = f"{folder}/part-{TaskContext.get().partitionId():05d}-{n_files:05d}"
+            n_files += 1
+            ends, resets = rows["cu_seqlens"].combine_chunks(), rows["position_resets"].combine_chunks()
+            ids = np.frombuffer(b"".join(rows["ids"].to_pylist()), "<u4").reshape(-1, capacity)
+            for kind, array in (("ids", ids), ("cu_seqlens", ends.flatten()), ("position_resets", resets.flatten()), ("sequences", rows["sequence_id"]), ("segments", pc.subtract(pc.list_value_length(ends), 1))):
+                temporary = f"{name}.{kind}.{TaskContext.get().taskAttemptId()}.tmp"
+                with open(temporary, "wb") as f:
+                    np.save(f, array if kind == "ids" else array.to_numpy(zero_copy_only=False) if isinstance(array, pa.Array) else array.to_numpy())
+                os.replace(temporary, f"{name}.{kind}.npy")
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(ids)], pa.int64())], ["file", "sequences"])
+
         for batch in batches:
-            for row in batch.to_pylist():
-                ids.append(np.frombuffer(row["ids"], "<u4"))
-                ends.append(row["cu_seqlens"])
-                resets.append(row["position_resets"])
-                sequences.append(row["sequence_id"])
-        if not ids:
-            return
-        os.makedirs(folder, exist_ok=True)
-        name = f"{folder}/part-{TaskContext.get().partitionId():05d}"
-        flat = lambda rows: np.array([x for row in rows for x in row], np.int32)
-        for kind, array in (("ids", np.stack(ids).reshape(-1, capacity)), ("cu_seqlens", flat(ends)), ("position_resets", flat(resets)), ("sequences", np.array(sequences, np.int64)), ("segments", np.array([len(x) - 1 for x in ends], np.int32))):
-            temporary = f"{name}.{kind}.{TaskContext.get().taskAttemptId()}.tmp"
-            with open(temporary, "wb") as f:
-                np.save(f, array)
-            os.replace(temporary, f"{name}.{kind}.npy")
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(ids)], pa.int64())], ["file", "sequences"])
-
-    return packed.mapInArrow(run, "file string, sequences bigint")
+            at = 0
+            while at < batch.num_rows:
+                held.append(batch.slice(at, ROWS_A_FILE - sum(x.num_rows for x in held)))
+                at += held[-1].num_rows
+                if sum(x.num_rows for x in held) == ROWS_A_FILE:
+                    yield write()
+        if held:
+            yield write()
+
+    return packed.mapInArrow(_text.tidy(run), "file string, sequences bigint")

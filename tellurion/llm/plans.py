@@ -10,8 +10,8 @@ import numpy as np
 Fill = tuple[tuple[int, int], ...]
 Plan = list[tuple[int, Fill]]
 
-#: Of the number of sequences: how near to the least one a plan is near enough.
-GAP = 1e-4
+#: A round counts no length as covered more than so many times over.
+MOST_AHEAD = 4.0
 
 
 class Capacities:
@@ -90,140 +90,91 @@ def knapsack(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[n
     return best, last
 
 
-def near_full(histogram: dict[int, int], capacity: int, rounds: int = 24, rate: float = 0.35) -> Plan:
-    """Greedy: fillings that waste almost nothing, priced by a knapsack over the capacity.
-
-    Each round prices the configurations at the present weights: one dynamic program gives, for every length, the best
-    filling that holds it. Those take what is left of their lengths, in whole multiples. A length of which much
-    is left gains weight, one that is used up early loses it. What no round could place goes to best-fit-decreasing.
-    """
-    lengths = np.array(sorted(histogram))
-    left = np.array([histogram[x] for x in lengths.tolist()], np.int64)
-    plan: Plan = []
-    full = lengths == capacity
-    if full.any():
-        plan.append((int(left[full][0]), ((capacity, 1),)))
-        left[full] = 0
-    asked = np.maximum(left, 1)
-    pressure, size = np.zeros(len(lengths)), lengths.tolist()
-    for step in range(rounds):
-        there = np.flatnonzero(left)
-        if len(there) < 2:
-            break
-        weights = lengths[there] * np.exp(np.clip(pressure[there], -0.02, 0.02) * (1 - step / rounds))
-        _, last = knapsack(lengths[there], weights, capacity)
-        down = np.maximum.accumulate(np.where(last >= 0, np.arange(capacity + 1), 0)).tolist()
-        last = np.where(last >= 0, there[last], -1).tolist()
-        slack = max(1, (capacity * (step + 1)) // (1024 * rounds))
-        before = left.copy()
-        for first in there[::-1].tolist():
-            if not left[first]:
-                continue
-            taken, c = {first: 1}, down[capacity - int(lengths[first])]
-            while c > 0:
-                i = last[c]
-                taken[i] = taken.get(i, 0) + 1
-                if taken[i] > left[i]:  # more than there are: not a filling for this round
-                    break
-                c = down[c - size[i]]
-            filled = sum(int(lengths[i]) * k for i, k in taken.items())
-            many = min(int(left[i]) // k for i, k in taken.items())
-            if many and capacity - filled <= slack:
-                # a share only while there are rounds to come, so that the weights can answer
-                many = max(1, many // 2) if step < rounds // 2 else many
-                for i, k in taken.items():
-                    left[i] -= many * k
-                plan.append((many, tuple((int(lengths[i]), k) for i, k in sorted(taken.items(), reverse=True))))
-        share = (before - left) / asked
-        pressure += rate * (share[there].mean() - share) * 0.1
-    rest = {int(x): int(n) for x, n in zip(lengths, left) if n}
-    return plan + best_fit_decreasing(rest, capacity)
-
-
-def fillings(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[float, list[tuple[float, dict[int, int]]]]:
-    """The most weight that fits, and of every length the best filling that holds it (index: copies) with its weight."""
+def fillings(lengths: np.ndarray, counts: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[float, list[tuple[float, int, dict[int, int]]]]:
+    """The most weight that fits, and for every length the best filling that holds it: weight, the length's index, and copies by index. No length more often than it occurs."""
     best, last = knapsack(lengths, weights, capacity)
     down = np.maximum.accumulate(np.where(last >= 0, np.arange(capacity + 1), 0)).tolist()
-    last, size, found = last.tolist(), lengths.tolist(), []
+    last, size, left, worth, found = last.tolist(), lengths.tolist(), counts.tolist(), weights.tolist(), []
     for first in range(len(size)):
         taken, c = {first: 1}, down[capacity - size[first]]
         while c > 0:
-            taken[last[c]] = taken.get(last[c], 0) + 1
-            c = down[c - size[last[c]]]
-        found.append((float(weights[first] + best[capacity - size[first]]), taken))
+            i = last[c]
+            if taken.get(i, 0) < left[i]:
+                taken[i] = taken.get(i, 0) + 1
+            c = down[c - size[i]]
+        found.append((sum(worth[i] * k for i, k in taken.items()), first, taken))
     return float(best[capacity]), found
 
 
-def covering_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, most_work: float) -> tuple[list[tuple[float, dict[int, int]]], float]:
-    """Fractional fillings that cover the counts, and a lower bound of how many it takes: primal simplex, columns priced by the knapsack.
+def covering_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 80, rate: float = 0.05, near: float = 4e-3) -> tuple[list[tuple[float, dict[int, int]]], float]:
+    """Fractional fillings that cover the counts, nearly, and a lower bound of how many sequences it takes.
 
-    It ends within GAP of the bound, or after most_work / m**2 pivots for m lengths; what it has then covers the counts as well.
+    Least sum of x with A x >= counts, a column for each filling, by multiplicative weights: a length's weight is its share of the dual. A round prices the fillings by
+    the knapsack, takes a part of the sequences in fillings that are worth nearly as much as any, and multiplies each weight by the exponential of how far its length's cover lags behind. The
+    weights begin as the pieces' shares of all tokens, the dual of a program without waste. What the rounds took is averaged.
     """
-    m = len(lengths)
-    asked = counts * (1 + 1e-7 * np.random.Generator(np.random.PCG64(8)).random(m))  # no ties, no cycles
-    columns: list[dict[int, int]] = [{i: capacity // int(n)} for i, n in enumerate(lengths)]
-    cost, inverse = np.ones(m), np.diag(1.0 / (capacity // lengths))
-    dual = cost @ inverse
-    x, bound, pivots, most = inverse @ asked, float(counts @ lengths) / capacity, 0, int(most_work / m**2) + 1
-
-    def enter(column: dict[int, int], price: float) -> None:
-        nonlocal x, inverse, dual, pivots
-        d = inverse[:, list(column)] @ np.array(list(column.values()), float)
-        up = np.flatnonzero(d > 1e-9)
-        r = int(up[np.argmin(x[up] / d[up])])
-        step, row = x[r] / d[r], inverse[r] / d[r]
-        x -= step * d
-        some, there = np.flatnonzero(np.abs(d) > 1e-13), np.flatnonzero(row)
-        inverse[np.ix_(some, there)] -= np.outer(d[some], row[there])
-        x[r], inverse[r], columns[r], cost[r] = step, row, column, price
-        dual = dual + (price - sum(dual[i] * k for i, k in column.items())) * row
-        pivots += 1
-        if pivots % 400 == 0:
-            matrix = np.zeros((m, m))
-            for j, held in enumerate(columns):
-                matrix[list(held), j] = list(held.values())
-            inverse = np.linalg.inv(matrix)
-            x, dual = np.maximum(inverse @ asked, 0), cost @ inverse
-
-    while pivots < most:
-        if dual.min() < -1e-9:
-            enter({int(dual.argmin()): -1}, 0.0)  # more than the count may be covered
-            continue
-        value, found = fillings(lengths, np.maximum(dual, 0), capacity)
-        bound = max(bound, float(counts @ np.maximum(dual, 0)) / max(value, 1.0))
-        if value <= 1 + 1e-9 or cost @ x <= bound * (1 + GAP):
-            break
-        for _, column in sorted(found, key=lambda f: -f[0])[: max(1, m // 20)]:
-            if sum(dual[i] * k for i, k in column.items()) > 1 + 1e-9:
-                enter(column, 1.0)
-    return [(float(n), c) for n, c, paid in zip(x, columns, cost) if paid and n > 0], bound
-
-
-def sequences(plan: Plan) -> int:
-    return sum(many for many, _ in plan)
+    n = counts.astype(float)
+    share, size = n * lengths / (n @ lengths), counts.tolist()
+    bound, taken, covered = float(n @ lengths) / capacity, {}, np.zeros(len(n))
+    for step in range(rounds):
+        value, found = fillings(lengths, counts, share / n, capacity)
+        bound = max(bound, 1 / value)
+        top = max(v for v, _, _ in found)
+        good = [(min(size[i] / k for i, k in column.items()), column) for v, first, column in found if v >= top * (1 - near)]
+        whole = sum(w for w, _ in good)
+        got = np.zeros(len(n))
+        for w, column in good:
+            w /= whole
+            key = tuple(column.items())
+            taken[key] = taken.get(key, 0.0) + w / rounds
+            for i, k in column.items():
+                got[i] += w * k
+        got *= bound / n
+        covered += got / rounds
+        share = share * np.exp(-rate / np.sqrt(1 + step / 8) * (np.minimum(got, MOST_AHEAD) - 1))
+        share /= share.sum()
+    return [(x * bound, dict(c)) for c, x in taken.items()], bound
 
 
-def configuration_lp(histogram: dict[int, int], capacity: int, most_work: float = 8e9) -> Plan:
-    """The least of three plans: the covering program over fillings, solved and rounded down with the rest packed; near_full(); best-fit-decreasing.
+def rounded(fractions: list[tuple[float, dict[int, int]]], lengths: np.ndarray, counts: np.ndarray) -> tuple[Plan, dict[int, int]]:
+    """Whole numbers of the fillings, and the pieces left over.
 
-    The program isn't solved where another plan is proven to take at most one sequence, or GAP of them, more than any could.
+    The fractions are taken in the order of their size and carried from one filling to the next, so that no more sequences are begun than the program asks for; a filling goes in as
+    often as its pieces are left.
     """
-    best = min((near_full(histogram, capacity), best_fit_decreasing(histogram, capacity)), key=sequences)
-    lengths = np.array(sorted(histogram), np.int64)
-    counts = np.array([histogram[n] for n in lengths.tolist()], np.int64)
-    least = -(-int(counts @ lengths) // capacity) if len(lengths) else 0
-    if sequences(best) - least <= max(1, GAP * least):
-        return best
-    left, plan = counts.copy(), []
-    for n, column in sorted(covering_lp(lengths, counts, capacity, most_work)[0], key=lambda f: -f[0]):
-        many = min(int(n + 1e-4), *(int(left[i]) // k for i, k in column.items()))
+    left, plan, carried = counts.copy(), [], 0.0
+    for n, column in sorted(fractions, key=lambda f: -f[0]):
+        carried += n
+        many = min(int(carried + 1e-9), *(int(left[i]) // k for i, k in column.items()))
         if many:
+            carried -= many
             for i, k in column.items():
                 left[i] -= many * k
             plan.append((many, tuple((int(lengths[i]), k) for i, k in sorted(column.items(), reverse=True))))
-    rest = {int(n): int(k) for n, k in zip(lengths, left) if k}
-    plan += min((near_full(rest, capacity), best_fit_decreasing(rest, capacity)), key=sequences)
-    return min((best, plan), key=sequences)
+        carried = min(carried, 1.0)
+    return plan, {int(n): int(k) for n, k in zip(lengths, left) if k}
+
+
+def sequences(plan: Plan) -> int:
+    return sum(many for many, _ in plan)
+
+
+def configuration_lp(histogram: dict[int, int], capacity: int, most_solved: int = 8) -> Plan:
+    """The covering program over fillings, solved by multiplicative weights with the knapsack as its pricing, then rounded. What rounding leaves is a smaller
+    histogram, whose program is solved in turn; the last rest goes to best-fit-decreasing. Where that alone takes fewer sequences for the whole, its plan is returned."""
+    plan, rest, whole = [], dict(histogram), None
+    for solved in range(most_solved):
+        if len(rest) > 1:
+            lengths = np.array(sorted(rest), np.int64)
+            counts = np.array([rest[n] for n in lengths.tolist()], np.int64)
+            placed, rest = rounded(covering_lp(lengths, counts, capacity, 20 if solved else 80)[0], lengths, counts)
+            plan = plan + placed
+        found = plan + best_fit_decreasing(rest, capacity)
+        whole = found if whole is None or sequences(found) <= sequences(whole) else whole
+        if len(rest) < 2 or not placed:
+            break
+    plain = best_fit_decreasing(histogram, capacity)
+    return plain if sequences(plain) < sequences(whole) else whole
 
 
 class Slots:

@@ -1,16 +1,15 @@
 """Document fingerprints: threshold-scaled sketches. Operator 5, of DataFrame functions alone.
 
-A sketch holds every 40-bit hash of a text's five-word shingles below 1/16 of the hash space, and at least the LEAST smallest, so that
-short texts have one too. Up to its bound (bound()) a sketch is complete. Two sketches are compared below the smaller of
-their bounds, where both are: the share of the smaller set that the other has estimates containment, however unequal the texts' lengths. Sketches
-merge by union: below the smallest of the bounds, the union is the sketch of the joined texts.
+A sketch holds every 40-bit hash of a text's five-word shingles below a fixed share, one quarter (SCALED), of the hash space: the same threshold for all texts, so a long
+text has a long sketch and a sketch is complete below it. The share of the smaller sketch that the other has estimates containment, however unequal the texts' lengths. Sketches
+merge by union: the union is the sketch of the joined texts. A text of few shingles may have an empty sketch; it is like other empty ones and unlike the rest.
 
 The next document, by descending doc_id, is found without a global order in one task: ids are range-partitioned, each partition orders its own,
 and only the partitions' first rows are ordered among themselves.
 
-Null text counts as empty; texts without words have the empty fingerprint, which is like itself alone. Fewer than five words are one shingle. Rows with
-neither equal doc_id nor equal text are documents; rows that repeat both are one document and give one row. A null doc_id is the last in
-descending order, equal ids follow their texts' hashes. A single document is its own next one. Further columns are ignored.
+Null text counts as empty; texts without words have the empty fingerprint. Fewer than five words are one shingle.
+Rows that repeat doc_id and text take one place in the order and get the same result each. A null doc_id is the last in
+descending order, equal ids follow their texts' hashes. A single document is its own next one. Further columns are ignored. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tellurion.llm import _spark
 
-BITS, SCALED, LEAST, SHINGLE = 40, 16, 32, 5
+BITS, SCALED, SHINGLE = 40, 4, 5
 SPACE = " \t\n\x0b\x0c\r"
 ID_PARTITION_ROWS = 500_000
 MOST_FIRSTS = 100_000
@@ -28,29 +27,25 @@ MOST_FIRSTS = 100_000
 
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
     """Adds column `name`, the ascending hashes of the sketch of column `text`."""
-    words, hashes, low = (f"__{x}_{name}" for x in ("words", "hashes", "low"))
+    words, hashes = (f"__{x}_{name}" for x in ("words", "hashes"))
     df = df.withColumn(words, F.split(F.btrim(F.col(text), F.lit(SPACE)), "[\\x20\\x09-\\x0D]+"))
     short = lambda *columns: F.shiftrightunsigned(F.xxhash64(*columns), 64 - BITS)
     n = F.size(words)
     whole = F.when((n == 1) & (F.element_at(words, 1) == ""), F.array().cast("array<bigint>")).otherwise(F.array(short(F.array_join(words, " "))))
     several = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: short(*[F.col(words)[i + k] for k in range(SHINGLE)]))
     df = df.withColumn(hashes, F.when(n >= SHINGLE, several).otherwise(whole))
-    df = df.withColumn(low, F.array_distinct(F.filter(hashes, lambda x: x < (1 << BITS) // SCALED)))
-    smallest = F.slice(F.sort_array(F.array_distinct(hashes)), 1, LEAST)
-    return df.withColumn(name, F.when(F.size(low) >= LEAST, F.sort_array(low)).otherwise(smallest)).drop(words, hashes, low)
+    return df.withColumn(name, F.sort_array(F.array_distinct(F.filter(hashes, lambda x: x < (1 << BITS) // SCALED)))).drop(words, hashes)
 
 
-def bound(sketch: str) -> Column:
-    """Below it the sketch has all hashes of the text."""
-    return F.when(F.size(sketch) < LEAST, F.lit(1 << BITS)).otherwise(F.greatest(F.lit((1 << BITS) // SCALED), F.element_at(sketch, -1) + 1))
+def merged(a: str, b: str) -> Column:
+    """The sketch of both texts together."""
+    return F.sort_array(F.array_union(a, b))
 
 
 def containment(a: str, b: str) -> Column:
     """Share of the smaller set that lies in the other one."""
-    under = F.least(bound(a), bound(b))
-    x, y = F.filter(a, lambda h: h < under), F.filter(b, lambda h: h < under)
-    smaller = F.least(F.size(x), F.size(y))
-    found = F.when(smaller > 0, F.size(F.array_intersect(x, y)) / smaller).otherwise(0.0)
+    smaller = F.least(F.size(a), F.size(b))
+    found = F.when(smaller > 0, F.size(F.array_intersect(a, b)) / smaller).otherwise(0.0)
     return F.when(F.col(a) == F.col(b), 1.0).otherwise(found)
 
 
@@ -81,15 +76,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     ids = _spark.cut(texts.select("doc_id", "hash", F.char_length("text").alias("n")).groupBy("doc_id", "hash").agg(F.first("n").alias("n"), F.count("*").alias("copies")))
     rows, copies = ids.agg(F.count("*"), F.max("copies")).first()
     linked = _spark.cut(successors(ids.drop("copies"), rows))
+    repeated = (copies or 0) > 1
     asked = linked.select(F.col("next.doc_id").alias("to_id"), F.col("next.hash").alias("to_hash"), F.col("doc_id").alias("for_id"), F.col("hash").alias("for_hash"), F.floor(F.col("n") / 3).cast("int").alias("asked"))
     texts = with_sketch(texts, "text", "sketch")
-    if (copies or 0) > 1:
-        texts = texts.groupBy("doc_id", "hash").agg(F.first("text").alias("text"), F.first("sketch").alias("sketch"))
+    if repeated:
+        texts = texts.groupBy("doc_id", "hash").agg(F.first("text").alias("text"), F.first("sketch").alias("sketch"), F.count("*").cast("int").alias("copies"))
+    else:
+        texts = texts.withColumn("copies", F.lit(1))
     texts = texts.join(asked, same(texts, asked)).drop("to_id", "to_hash")
     heads = texts.select(F.col("for_id").alias("to_id"), F.col("for_hash").alias("to_hash"), F.expr("substring(text, 1, asked)").alias("head"), F.col("sketch").alias("next_sketch"))
-    both = texts.select("doc_id", "hash", "text", "sketch")
+    both = texts.select("doc_id", "hash", "text", "sketch", "copies")
     both = both.join(heads, same(both, heads)).withColumn("n", F.char_length("text"))
-    both = both.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.concat(F.expr("substring(text, 1, n - cast(floor(n / 3) as int))"), "head").alias("edited"), "sketch", "next_sketch")
+    both = both.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.concat(F.expr("substring(text, 1, n - cast(floor(n / 3) as int))"), "head").alias("edited"), "sketch", "next_sketch", "copies")
     both = with_sketch(both, "edited", "edited_sketch")
-    return both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text("sketch").alias("fingerprint"), as_text("edited_sketch").alias("edited_fingerprint"),
+    found = both.select("copies", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text("sketch").alias("fingerprint"), as_text("edited_sketch").alias("edited_fingerprint"),
                        containment("sketch", "edited_sketch").alias("near_edited"), containment("sketch", "next_sketch").alias("near_next"))
+    if repeated:
+        found = found.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies")))
+    return found.drop("copies")
