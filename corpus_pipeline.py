@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages, each one of the dealt operators, over whole documents.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as Parquet to the shared folder and
-rereads them for the next one. All stages but the last keep the columns of documents.
+rereads them for the next one; what only an earlier stage needed is dropped. All stages but the last keep the columns of documents.
 """
 
 from __future__ import annotations
@@ -50,6 +50,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _spark.documents(spark, sf_dir)
     folder = f"{_spark.checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        with _spark.scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            _spark.drop(spark, f"{folder}/{i - 1}")
     return docs
