@@ -16,6 +16,11 @@ def key(labels: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(labels))))
 
 
+def of(key: Column) -> Column:
+    """The map that a key is the text of. Groups carry the key alone: a map among the aggregates would keep them from being hashed."""
+    return F.from_json(key, "map<string,string>")
+
+
 def get(labels: Column, name: str) -> Column:
     """An absent label is the empty string."""
     return F.coalesce(F.try_element_at(labels, F.lit(name)), F.lit(""))

@@ -20,8 +20,8 @@ def buckets(c, df: DataFrame) -> DataFrame:
     le = L.get(F.col("labels"), "le")
     named = df.select(L.drop(F.col("labels"), ["le"]).alias("labels"), "t", "v", bound(le).alias("le")).where("le is not null")
     keyed = named.withColumn("lkey", L.key(F.col("labels")))
-    added = keyed.groupBy("lkey", "t", "le").agg(F.sum("v").alias("count"), F.any_value("labels").alias("labels"))
-    rows = added.groupBy("lkey", "t").agg(F.any_value("labels").alias("labels"), F.array_sort(F.collect_list(F.struct("le", "count"))).alias("b"))
+    added = keyed.groupBy("lkey", "t", "le").agg(F.sum("v").alias("count"))
+    rows = added.groupBy("lkey", "t").agg(F.array_sort(F.collect_list(F.struct("le", "count"))).alias("b"))
     zero = F.struct(F.lit(None).cast("double").alias("top"), F.array().cast("array<struct<le:double,count:double>>").alias("out"))
 
     def rise(s: Column, x: Column) -> Column:
@@ -29,7 +29,7 @@ def buckets(c, df: DataFrame) -> DataFrame:
         count = F.when(s["top"].isNotNull() & ((x["count"] < s["top"]) | near), s["top"]).otherwise(x["count"])
         return F.struct(count.alias("top"), F.concat(s["out"], F.array(F.struct(x["le"].alias("le"), count.alias("count")))).alias("out"))
 
-    return rows.select(L.drop(F.col("labels"), [NAME]).alias("labels"), "t", F.aggregate("b", zero, rise)["out"].alias("b"))
+    return rows.select(L.drop(L.of(F.col("lkey")), [NAME]).alias("labels"), "t", F.aggregate("b", zero, rise)["out"].alias("b"))
 
 
 def usable(b: Column) -> Column:

@@ -22,6 +22,7 @@ from tellurion.plans import logsql as P
 
 WORD = r"[\p{L}\p{Nd}_]"
 SOURCE = ("ts", "seq", "level", "message", "metadata")
+NUMERIC = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL\(.*\))$"
 FIXED = ("_time", "_msg", "level")
 PLACEHOLDERS = {
     "N": r"\d+", "UUID": r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "IP4": r"\d{1,3}(?:\.\d{1,3}){3}", "TIME": r"\d\d:\d\d:\d\d(?:[.,]\d+)?",
@@ -48,7 +49,9 @@ class Rows:
         return F.when(self._kind(name) == "STRING", T.quote(value)).when(self._kind(name) == "VOID", "null").otherwise(value)
 
     def _kind(self, name: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(F.try_parse_json("metadata"), path(name), "variant"))
+        """The JSON type. The metadata are parsed once a row, into the column that start() adds."""
+        parsed = F.col("variant") if "variant" in self.df.columns else F.try_parse_json("metadata")
+        return F.schema_of_variant(F.try_variant_get(parsed, path(name), "variant"))
 
     def text(self, name: str) -> Column:
         if not self.typed:
@@ -62,10 +65,7 @@ class Rows:
     def number(self, name: str) -> Column:
         """A JSON number."""
         if self.typed and name not in FIXED:
-            value = F.get_json_object("metadata", path(name))
-            plain = F.regexp_replace(F.col("metadata"), r"\s", "")
-            quoted = F.contains(plain, F.concat(F.lit(f'"{name.split(".")[-1]}":"'), value, F.lit('"')))
-            return F.when(value.rlike(T.NUMBER) & ~quoted, value.try_cast("double"))
+            return F.when(self._kind(name).rlike(NUMERIC), F.get_json_object("metadata", path(name)).try_cast("double"))
         return T.number(self.token(name))
 
     def words(self, name: str) -> Column:
@@ -319,7 +319,7 @@ class Run:
         df = self.source
         if "seq" not in df.columns:
             df = df.withColumn("seq", F.lit(0).cast("long"))
-        rows = Rows(df.select(*SOURCE))
+        rows = Rows(df.select(*SOURCE, F.try_parse_json("metadata").alias("variant")))
         offset = query.options.get("time_offset")
         if offset:
             rows = replace(rows, df=rows.df.withColumn("ts", F.col("ts") + offset))
@@ -444,12 +444,38 @@ class Run:
         for i, name in enumerate(by):
             keyed = keyed.withColumn(f"__k{i}", rows.token(name))
         inner = replace(rows, df=keyed)
-        columns = [self.stat(inner, s).alias(f"__s{i}") for i, s in enumerate(stats)]
         keys = [f"__k{i}" for i in range(len(by))]
+        apart = {i: found for i, s in enumerate(stats) if (found := self.counted(inner, s, keys)) is not None}
+        columns = [self.stat(inner, s).alias(f"__s{i}") for i, s in enumerate(stats) if i not in apart] or [F.lit(0).alias("__none")]
         grouped = keyed.groupBy(*keys).agg(*columns) if keys else keyed.agg(*columns)
+        for i, (found, missing) in apart.items():
+            found = found.select(*[F.col(k).alias(f"__other{k}") for k in keys], F.col("value").alias(f"__s{i}"))
+            if keys:
+                grouped = grouped.join(found, [grouped[k].eqNullSafe(found[f"__other{k}"]) for k in keys], "left").drop(*[f"__other{k}" for k in keys])
+            else:
+                grouped = grouped.join(F.broadcast(found), how="left")  # one row each
+            grouped = grouped.withColumn(f"__s{i}", F.coalesce(f"__s{i}", F.lit(missing)))
         values = {n: F.col(f"__k{i}") for i, n in enumerate(by)} | {s.alias: F.col(f"__s{i}") for i, s in enumerate(stats)}
         return table(grouped, values, [T.text(F.col(k)) for k in keys] or [F.lit(0)])
 
+    def counted(self, rows: Rows, s: P.Stat, keys: list[str]) -> tuple[DataFrame, str] | None:
+        """keys and value of a statistic over all values of one field, by how often each value occurs: no group is ever one row. And the token of an empty group."""
+        if s.name not in ("histogram", "median", "quantile") or len(s.fields) != 1 or s.fields[0] == "*":
+            return None
+        f, holds = s.fields[0], self.when(rows, s.condition)
+        if s.name == "histogram":
+            v = rows.number(f)
+            several = rows.df.where(holds & v.isNotNull() & ~F.isnan(v) & (v >= 0)).groupBy(*keys, log_bucket(v).alias("__bucket")).agg(F.count("*").alias("__n"))
+            item = F.concat(F.lit('{"vmrange":"'), vmrange(F.col("__bucket")), F.lit('","hits":'), F.col("__n").cast("string"), F.lit("}"))
+            listed = F.transform(F.array_sort(F.collect_list(F.struct("__bucket", item.alias("j")))), lambda x: x["j"])  # 488 buckets at most
+            return several.groupBy(*keys).agg(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("value")), "[]"
+        several = rows.df.where(holds & (rows.text(f) != "")).groupBy(*keys, rows.token(f).alias("__token")).agg(F.count("*").alias("__n"))
+        own = Window.partitionBy(*keys)
+        upto = F.sum("__n").over(own.orderBy(T.natural(T.text(F.col("__token"))), "__token"))
+        ranked = several.select(*keys, "__token", upto.alias("__upto"), F.sum("__n").over(own).alias("__all"), T.natural(T.text(F.col("__token"))).alias("__order"))
+        at = F.greatest(F.least(F.floor(F.col("__all") * (0.5 if s.name == "median" else s.phi)), F.col("__all") - 1), F.lit(0))
+        return ranked.where(F.col("__upto") > at).groupBy(*keys).agg(F.min_by("__token", F.struct("__order", "__token")).alias("value")), '""'
+
     def stat(self, rows: Rows, s: P.Stat) -> Column:
         """A token."""
         fields = [f for f in s.fields if f != "*"]
@@ -523,10 +549,6 @@ class Run:
             listed = F.reverse(listed) if s.sort and s.sort[0][1] else listed
             listed = F.slice(listed, 1, s.limit) if s.limit else listed
             return F.concat(F.lit("["), F.array_join(F.transform(listed, lambda x: x["j"]), ","), F.lit("]"))
-        if name == "histogram":
-            bucket = F.transform_values(histogram_counts(F.collect_list(only(rows.number(fields[0])))), lambda k, v: v)
-            items = F.transform(F.array_sort(F.map_entries(bucket)), lambda e: F.concat(F.lit('{"vmrange":"'), vmrange(e["key"]), F.lit('","hits":'), e["value"].cast("string"), F.lit("}")))
-            return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
         raise QueryError(f"unknown statistic {name}")
 
     def interval_seconds(self) -> float:
@@ -586,6 +608,8 @@ class Run:
 
     def _windowed(self, rows: Rows, by, stats, offset, running: bool) -> Rows:
         rows = rows.mapped()
+        if not running and not by and all(s.name in ("count", "sum", "min", "max") for s in stats):
+            return self._totals(rows, stats)
         part = Window.partitionBy(*([rows.text(b) for b in by] or [F.lit(0)]))
         own = part.orderBy(*rows.sort)
         frame = own.rowsBetween(Window.unboundedPreceding, -offset) if running else part
@@ -609,6 +633,23 @@ class Run:
         group = [(T.text(out.token(b)), False) for b in by]
         return replace(out, df=out.df.drop(*[f"__w{i}" for i in range(len(stats))]), order=group + out.order)
 
+    def _totals(self, rows: Rows, stats) -> Rows:
+        """Of all rows: one aggregated row goes to each, so no task sees them all."""
+        columns = []
+        for i, s in enumerate(stats):
+            f = s.fields[0] if s.fields else None
+            if s.name == "count":
+                value = F.count(F.when(rows.text(f) != "", 1) if f and f != "*" else F.lit(1)).cast("string")
+            elif s.name == "sum":
+                value = T.of_number(F.coalesce(F.sum(rows.number(f)), F.lit(0.0)))
+            else:
+                best = (F.min if s.name == "min" else F.max)(F.when(rows.text(f) != "", F.struct(T.natural(rows.text(f)).alias("k"), rows.token(f).alias("t"))))
+                value = F.coalesce(best["t"], F.lit('""'))
+            columns.append(value.alias(f"__w{i}"))
+        df = rows.df.crossJoin(F.broadcast(rows.df.agg(*columns)))  # one row
+        out = replace(rows, df=df).put_all({s.alias: F.col(f"__w{i}") for i, s in enumerate(stats)})
+        return replace(out, df=out.df.drop(*[f"__w{i}" for i in range(len(stats))]))
+
     def do_running_stats(self, rows: Rows, by, stats, offset=0) -> Rows:
         return self._windowed(rows, by, stats, offset, True)
 
@@ -978,11 +1019,9 @@ def duration_text(seconds: Column) -> Column:
     return F.concat(F.when(h > 0, F.concat(h.cast("string"), F.lit("h"))).otherwise(""), F.when((h > 0) | (m > 0), F.concat(m.cast("string"), F.lit("m"))).otherwise(""), T.of_number(F.round(s, 9)), F.lit("s"))
 
 
-def histogram_counts(values: Column) -> Column:
-    """Counts by log bucket, 18 a decade: -1 below 1e-9, 486 above 1e18."""
-    index = lambda v: F.when(v < 1e-9, -1).when(v > 1e18, 486).otherwise(F.greatest(F.ceil(F.log10(v) * 18 + 162).cast("int") - 1, F.lit(0)))
-    ids = F.transform(F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v) & (v >= 0)), index)
-    return F.map_from_entries(F.transform(F.array_distinct(ids), lambda i: F.struct(i, F.size(F.filter(ids, lambda j: j == i)))))
+def log_bucket(v: Column) -> Column:
+    """18 a decade: -1 below 1e-9, 486 above 1e18."""
+    return F.when(v < 1e-9, -1).when(v > 1e18, 486).otherwise(F.greatest(F.ceil(F.log10(v) * 18 + 162).cast("int") - 1, F.lit(0)))
 
 
 def vmrange(i: Column) -> Column:

@@ -101,7 +101,7 @@ def moment(c: Context, node) -> int | None:
 
 
 def instant(c: Context, s: P.Selector, source_time: bool = False) -> DataFrame:
-    last = F.max_by(F.struct("v", "ts"), F.struct("ts", "seq"))
+    last = windows.last(F.struct("v", "ts"), F.struct("ts", "seq"))
     found = windows.reduce(leaf(c, s), c.grid, c.lookback, s.offset, {"last": last}, moment(c, s))
     return found.select("labels", "t", (F.col("last.ts") / 1000 if source_time else F.col("last.v")).alias("v"))
 
@@ -287,19 +287,19 @@ def over_time(c: Context, node: P.Call) -> DataFrame:
 
 def range_aggregates(c: Context, name: str) -> dict[str, Column]:
     v, order = F.col("v"), F.struct("ts", "seq")
-    first, last = F.min_by(v, order), F.max_by(v, order)
+    first, last = windows.first(v, order), windows.last(v, order)
     x = (F.col("ts") - c.grid.start) / 1000
     match name:
         case "avg_over_time" | "sum_over_time":
             if c.compensated:
                 return {"a": F.collect_list(F.struct("ts", "seq", "v"))}
-            return {"a": F.avg(v) if name == "avg_over_time" else F.sum(v)}
+            return {"a": windows.mean(v) if name == "avg_over_time" else windows.total(v)}
         case "min_over_time":
-            return {"a": F.min(F.when(~F.isnan(v), v)), "n": F.count(v)}
+            return {"a": windows.least(F.when(~F.isnan(v), v)), "n": windows.count(v)}
         case "max_over_time":
-            return {"a": F.max(F.when(~F.isnan(v), v)), "n": F.count(v)}
+            return {"a": windows.most(F.when(~F.isnan(v), v)), "n": windows.count(v)}
         case "count_over_time" | "present_over_time":
-            return {"a": F.count(v)}
+            return {"a": windows.count(v)}
         case "last_over_time":
             return {"a": last}
         case "stddev_over_time":
@@ -309,17 +309,17 @@ def range_aggregates(c: Context, name: str) -> dict[str, Column]:
         case "quantile_over_time":
             return {"a": F.collect_list(v)}
         case "rate" | "increase" | "delta":
-            own = {"n": F.count(v), "first": first, "last": last, "first_ts": F.min(F.when(v.isNotNull(), F.col("ts"))), "last_ts": F.max(F.when(v.isNotNull(), F.col("ts")))}
+            own = {"n": windows.count(v), "first": first, "last": last, "first_ts": windows.least(F.when(v.isNotNull(), F.col("ts"))), "last_ts": windows.most(F.when(v.isNotNull(), F.col("ts")))}
             if name != "delta":
                 drop = F.when(F.col("prev_v") > v, F.col("prev_v")).otherwise(F.when(v.isNotNull(), 0.0))
-                own |= {"drops": F.sum(drop), "first_drop": F.min_by(drop, order)}
+                own |= {"drops": windows.total(drop), "first_drop": windows.first(drop, order)}
             return own
         case "irate" | "idelta":
-            return {"n": F.count(v), "a": F.max_by(F.struct("v", "ts", "prev_v", "prev_ts"), order)}
+            return {"n": windows.count(v), "a": windows.last(F.struct("v", "ts", "prev_v", "prev_ts"), order)}
         case "changes" | "resets":
             differ = (F.col("prev_v") != v) & ~(F.isnan("prev_v") & F.isnan(v)) if name == "changes" else (F.col("prev_v") > v) & ~F.isnan("prev_v")
             flag = F.when(v.isNotNull(), F.when(F.coalesce(differ, F.lit(False)), 1.0).otherwise(0.0))
-            return {"a": F.sum(flag), "b": F.min_by(flag, order)}
+            return {"a": windows.total(flag), "b": windows.first(flag, order)}
         case "deriv" | "predict_linear":
             return {"n": F.count(v), "sxy": F.covar_pop(x, v), "sxx": F.var_pop(F.when(v.isNotNull(), x)), "mx": F.avg(F.when(v.isNotNull(), x)), "my": F.avg(v), "low": F.min(v), "high": F.max(v)}
     raise QueryError(f"unknown function {name}")
@@ -400,7 +400,7 @@ def aggregate(c: Context, node: P.Aggregate) -> DataFrame:
     v = F.col("v")
     if node.without:
         group = {"__g": L.key(L.drop(F.col("labels"), [*node.labels, NAME]))}
-        labels = F.any_value(L.drop(F.col("labels"), [*node.labels, NAME]))
+        labels = L.of(F.col("__g"))
     else:
         group = {f"__g{i}": L.get(F.col("labels"), n) for i, n in enumerate(node.labels)}
         pairs = [x for i, n in enumerate(node.labels) for x in (F.lit(n), F.col(f"__g{i}"))]
@@ -420,9 +420,8 @@ def aggregate(c: Context, node: P.Aggregate) -> DataFrame:
             most = F.when(F.isnan(ieee.d(k.expr)), F.raise_error(F.lit("parameter k is NaN")).cast("double")).otherwise(ieee.d(k.expr))
         return vector(keyed.withColumn("__n", rank).where(F.col("__n") <= most))
     if node.op == "count_values":
-        values = keyed.withColumn("__v", ieee.as_go(v)).groupBy(*keys, "__v").agg(F.count("*").cast("double").alias("v"), *([labels.alias("__l")] if node.without else []))
-        own = F.col("__l") if node.without else labels
-        return vector(values, labels=L.put(own, node.parameter.value, F.col("__v")))
+        values = keyed.withColumn("__v", ieee.as_go(v)).groupBy(*keys, "__v").agg(F.count("*").cast("double").alias("v"))
+        return vector(values, labels=L.put(labels, node.parameter.value, F.col("__v")))
     value: Column
     match node.op:
         case "sum" | "avg" if c.compensated:
@@ -446,13 +445,13 @@ def aggregate(c: Context, node: P.Aggregate) -> DataFrame:
             value = F.var_pop(v)
         case _:
             value = F.collect_list(v)
-    grouped = keyed.groupBy(*keys).agg(value.alias("v"), *([labels.alias("labels")] if node.without else []))
+    grouped = keyed.groupBy(*keys).agg(value.alias("v"))
     if node.op == "quantile":
         q = evaluate(c, node.parameter)
         if q.constant is not None and not 0 <= q.constant <= 1:
             c.warn(f"quantile value should be between 0 and 1, got {q.constant}")
         grouped = q.join(grouped).withColumn("v", quantile_of(F.col("v"), ieee.d(q.expr)))
-    return vector(grouped, labels=None if node.without else labels)
+    return vector(grouped, labels=labels)
 
 
 def match_key(node: P.Binary) -> Column:

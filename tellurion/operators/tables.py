@@ -35,6 +35,11 @@ def _series(rows: DataFrame) -> DataFrame:
     return rows.select(lkey.alias("lkey"), "labels", F.col("ts_ms").alias("ts"), seq.alias("seq"), F.col("value").alias("v"))
 
 
+def labelled(found: DataFrame, *columns: str | Column) -> DataFrame:
+    """lkey, its labels but the metric's name, and the columns."""
+    return found.select("lkey", L.drop(L.of(F.col("lkey")), ["__name__"]).alias("labels"), *columns)
+
+
 def raw(samples: DataFrame, metric: str, filter: str | None = None, start: int | None = None, stop: int | None = None) -> DataFrame:
     return selected(samples, metric, filter, start, stop).select("metric", "labels", "ts_ms", "value")
 
@@ -43,14 +48,14 @@ def raw_batches(samples: DataFrame, metric: str, filter: str | None = None, star
     """A row for each series with its points in order."""
     rows = _series(selected(samples, metric, filter, start, stop))
     points = F.transform(F.array_sort(F.collect_list(F.struct("ts", "seq", "v"))), lambda p: F.struct(p["ts"].alias("ts"), p["v"].alias("value")))
-    return rows.groupBy("lkey").agg(F.any_value("labels").alias("labels"), points.alias("points"))
+    return labelled(rows.groupBy("lkey").agg(points.alias("points")), "points")
 
 
 def latest(samples: DataFrame, metric: str, filter: str | None = None, start: int | None = None, stop: int | None = None) -> DataFrame:
     """The newest point of each series; of equal times the last written."""
     rows = _series(selected(samples, metric, filter, start, stop))
-    found = rows.groupBy("lkey").agg(F.any_value("labels").alias("labels"), F.max_by(F.struct("ts", "v"), F.struct("ts", "seq")).alias("p"))
-    return found.select("lkey", "labels", F.col("p.ts").alias("ts_ms"), F.col("p.v").alias("value"))
+    found = rows.groupBy("lkey").agg(F.max_by(F.struct("ts", "v"), F.struct("ts", "seq")).alias("p"))
+    return labelled(found, F.col("p.ts").alias("ts_ms"), F.col("p.v").alias("value"))
 
 
 def aggregate(samples: DataFrame, metric: str, op: str, filter: str | None = None, start: int | None = None, stop: int | None = None) -> DataFrame:
@@ -58,7 +63,7 @@ def aggregate(samples: DataFrame, metric: str, op: str, filter: str | None = Non
     ops = {"avg": F.avg(v), "sum": F.sum(v), "min": ieee.extreme(F.min, v), "max": ieee.extreme(F.max, v), "count": F.count(v).cast("double")}
     if op not in ops:
         raise QueryError(f"unknown aggregate {op!r}")
-    return _series(selected(samples, metric, filter, start, stop)).groupBy("lkey").agg(F.any_value("labels").alias("labels"), ops[op].alias("value"))
+    return labelled(_series(selected(samples, metric, filter, start, stop)).groupBy("lkey").agg(ops[op].alias("value")), "value")
 
 
 def grid(samples: DataFrame, metric: str, start: int, stop: int, step: int, lookback: int, filter: str | None = None, fill: str = "none") -> DataFrame:
@@ -67,10 +72,10 @@ def grid(samples: DataFrame, metric: str, start: int, stop: int, step: int, look
         raise QueryError(f"unknown fill {fill!r}")
     g = Grid(start, stop, step)
     rows = _series(selected(samples, metric, filter))
-    found = windows.reduce(rows, g, lookback, 0, {"value": F.max_by(F.col("v"), F.struct("ts", "seq"))}).select("lkey", "labels", "t", "value")
+    found = windows.reduce(rows, g, lookback, 0, {"value": windows.last(F.col("v"), F.struct("ts", "seq"))}).select("lkey", L.drop(F.col("labels"), ["__name__"]).alias("labels"), "t", "value")
     if fill == "null":
-        series = found.groupBy("lkey").agg(F.any_value("labels").alias("labels")).select("lkey", "labels", g.times().alias("t"))
-        found = series.join(found.select("lkey", "t", "value"), ["lkey", "t"], "left").select("lkey", "labels", "t", "value")
+        series = labelled(found.select("lkey").distinct(), g.times().alias("t"))
+        found = series.join(found.select("lkey", "t", "value"), ["lkey", "t"], "left").select("lkey", L.drop(F.col("labels"), ["__name__"]).alias("labels"), "t", "value")
     return found
 
 
@@ -79,20 +84,20 @@ def window(samples: DataFrame, metric: str, op: str, start: int, stop: int, step
     g = Grid(start, stop, step)
     rows = windows.between(_series(selected(samples, metric, filter)), g, width)
     v, order = F.col("v"), F.struct("ts", "seq")
-    simple = {"sum": F.sum(v), "count": F.count(v).cast("double"), "avg": F.avg(v), "delta": F.max_by(v, order) - F.min_by(v, order)}
-    if op in simple and op != "delta":
-        return windows.reduce(rows, g, width, 0, {"value": simple[op]}).select("lkey", "labels", "t", "value")
+    simple = {"sum": windows.total(v), "count": windows.count(v), "avg": windows.mean(v)}
+    if op in simple:
+        return windows.reduce(rows, g, width, 0, {"value": simple[op]}).select("lkey", L.drop(F.col("labels"), ["__name__"]).alias("labels"), "t", F.col("value").cast("double").alias("value"))
     if op == "delta":
-        found = windows.reduce(rows, g, width, 0, {"a": F.max_by(v, order), "b": F.min_by(v, order)})
-        return found.select("lkey", "labels", "t", (F.col("a") - F.col("b")).alias("value"))
+        found = windows.reduce(rows, g, width, 0, {"a": windows.last(v, order), "b": windows.first(v, order)})
+        return found.select("lkey", L.drop(F.col("labels"), ["__name__"]).alias("labels"), "t", (F.col("a") - F.col("b")).alias("value"))
     if op in ("min", "max"):
-        found = windows.reduce(rows, g, width, 0, {"a": (F.min if op == "min" else F.max)(F.when(~F.isnan(v), v))})
-        return found.select("lkey", "labels", "t", F.coalesce("a", F.lit(ieee.NAN)).alias("value"))
+        found = windows.reduce(rows, g, width, 0, {"a": (windows.least if op == "min" else windows.most)(F.when(~F.isnan(v), v))})
+        return found.select("lkey", L.drop(F.col("labels"), ["__name__"]).alias("labels"), "t", F.coalesce("a", F.lit(ieee.NAN)).alias("value"))
     if op in ("increase", "rate"):
         gain = F.when(v.isNotNull(), F.when(F.col("prev_v").isNull(), 0.0).when(v < F.col("prev_v"), v).otherwise(v - F.col("prev_v")))
-        found = windows.reduce(windows.with_previous(rows), g, width, 0, {"a": F.sum(gain), "b": F.min_by(gain, order)})
+        found = windows.reduce(windows.with_previous(rows), g, width, 0, {"a": windows.total(gain), "b": windows.first(gain, order)})
         value = F.col("a") - F.col("b")
-        return found.select("lkey", "labels", "t", (value / (width / 1000) if op == "rate" else value).alias("value"))
+        return found.select("lkey", L.drop(F.col("labels"), ["__name__"]).alias("labels"), "t", (value / (width / 1000) if op == "rate" else value).alias("value"))
     found = windows.reduce(rows, g, width, 0, {"a": F.collect_list(v)})
     values = F.sort_array(F.filter("a", lambda x: ~F.isnan(x)))
     n = F.size(values)
@@ -105,7 +110,7 @@ def window(samples: DataFrame, metric: str, op: str, start: int, stop: int, step
         value = F.when(2 * cut < F.size("a"), F.aggregate(kept, F.lit(0.0), lambda s, x: s + x) / F.size(kept))
     else:
         raise QueryError(f"unknown window reduction {op!r}")
-    return found.select("lkey", "labels", "t", value.alias("value"))
+    return found.select("lkey", L.drop(F.col("labels"), ["__name__"]).alias("labels"), "t", value.alias("value"))
 
 
 def tumbling(samples: DataFrame, metric: str, op: str, start: int, stop: int, step: int, filter: str | None = None) -> DataFrame:
@@ -123,25 +128,25 @@ def tumbling(samples: DataFrame, metric: str, op: str, start: int, stop: int, st
         if op not in table:
             raise QueryError(f"unknown aggregate {op!r}")
         value = table[op]
-    return rows.groupBy("lkey", bucket.alias("bucket_ms")).agg(F.any_value("labels").alias("labels"), value.alias("value")).where("value is not null")
+    return labelled(rows.groupBy("lkey", bucket.alias("bucket_ms")).agg(value.alias("value")).where("value is not null"), "bucket_ms", "value")
 
 
 def rollup_tier(samples: DataFrame, resolution: int) -> DataFrame:
     """count, sum, min, max, last_ts and last_value of each series and bucket of `resolution` ms."""
     rows = samples.select("metric", "labels", L.key(F.col("labels")).alias("lkey"), "ts_ms", "value", (F.floor(F.col("ts_ms") / resolution).cast("long") * resolution).alias("bucket_ms"))
     return rows.groupBy("metric", "lkey", "bucket_ms").agg(
-        F.any_value("labels").alias("labels"), F.count("*").alias("n"), F.sum("value").alias("total"), ieee.extreme(F.min, F.col("value")).alias("low"), ieee.extreme(F.max, F.col("value")).alias("high"),
+        F.count("*").alias("n"), F.sum("value").alias("total"), ieee.extreme(F.min, F.col("value")).alias("low"), ieee.extreme(F.max, F.col("value")).alias("high"),
         F.max_by(F.struct("ts_ms", "value"), "ts_ms").alias("end"),
-    ).select("metric", "lkey", "labels", "bucket_ms", "n", "total", "low", "high", F.col("end.ts_ms").alias("last_ts"), F.col("end.value").alias("last_value"))
+    ).select("metric", "lkey", L.of(F.col("lkey")).alias("labels"), "bucket_ms", "n", "total", "low", "high", F.col("end.ts_ms").alias("last_ts"), F.col("end.value").alias("last_value"))
 
 
 def coarser(tier: DataFrame, resolution: int) -> DataFrame:
     """The next step of a rollup ladder, from the tier below it alone."""
     at = F.floor(F.col("bucket_ms") / resolution).cast("long") * resolution
     return tier.groupBy("metric", "lkey", at.alias("bucket_ms")).agg(
-        F.any_value("labels").alias("labels"), F.sum("n").alias("n"), F.sum("total").alias("total"), ieee.extreme(F.min, F.col("low")).alias("low"), ieee.extreme(F.max, F.col("high")).alias("high"),
+        F.sum("n").alias("n"), F.sum("total").alias("total"), ieee.extreme(F.min, F.col("low")).alias("low"), ieee.extreme(F.max, F.col("high")).alias("high"),
         F.max_by(F.struct("last_ts", "last_value"), "last_ts").alias("end"),
-    ).select("metric", "lkey", "labels", "bucket_ms", "n", "total", "low", "high", F.col("end.last_ts").alias("last_ts"), F.col("end.last_value").alias("last_value"))
+    ).select("metric", "lkey", L.of(F.col("lkey")).alias("labels"), "bucket_ms", "n", "total", "low", "high", F.col("end.last_ts").alias("last_ts"), F.col("end.last_value").alias("last_value"))
 
 
 def rollup(tier: DataFrame, metric: str, op: str, start: int, stop: int, filter: str | None = None) -> DataFrame:
@@ -155,7 +160,7 @@ def rollup(tier: DataFrame, metric: str, op: str, start: int, stop: int, filter:
 def series(samples: DataFrame, metric: str | None = None, filter: str | None = None) -> DataFrame:
     rows = samples if metric is None else samples.where(F.col("metric") == metric)
     keyed = rows.where(L.filter_grammar(filter, F.col("labels"))).withColumn("lkey", L.key(F.col("labels")))
-    return keyed.groupBy("metric", "lkey").agg(F.any_value("labels").alias("labels"), F.min("ts_ms").alias("min_ts"), F.max("ts_ms").alias("max_ts"), F.count("*").alias("points"))
+    return keyed.groupBy("metric", "lkey").agg(F.min("ts_ms").alias("min_ts"), F.max("ts_ms").alias("max_ts"), F.count("*").alias("points")).select("metric", "lkey", L.of(F.col("lkey")).alias("labels"), "min_ts", "max_ts", "points")
 
 
 def label_values(samples: DataFrame, metric: str, label: str) -> DataFrame:

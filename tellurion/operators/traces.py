@@ -99,18 +99,27 @@ def matching(spans: DataFrame, service=None, operation=None, start_us=None, end_
     return rows
 
 
+def of_kind(rows: DataFrame, kind: str | None, status: str | None) -> DataFrame:
+    """Spans of a kind and status; names that are neither are an error."""
+    for column, value, known in (("kind", kind, KINDS), ("status", status, STATUSES)):
+        if value is not None:
+            if value not in known:
+                raise QueryError(f"unknown {column} {value!r}")
+            rows = rows.where(F.col(column) == value)
+    return rows
+
+
 def span_search(spans: DataFrame, kind: str | None = None, status: str | None = None, text: str | None = None, limit: int = 100, offset: int = 0, descending: bool = True, **filters) -> DataFrame:
-    """A page of spans and has_more. text: part of the name or, where the column is there, of a string attribute."""
-    rows = matching(spans, **filters)
-    if kind is not None:
-        rows = rows.where(F.col("kind") == kind)
-    if status is not None:
-        rows = rows.where(F.col("status") == status)
+    """A page of spans and has_more. text: part of the name or, where the column is there, of a string value among the attributes, at any depth; keys and numbers don't count."""
+    rows = of_kind(matching(spans, **filters), kind, status)
     if text is not None:
         wanted = F.lower(F.lit(text))
         found = F.contains(F.lower("name"), wanted)
         if "attributes" in spans.columns:
-            found = found | F.contains(F.lower(F.coalesce("attributes", F.lit(""))), wanted)
+            # a string of JSON is a value unless a colon follows it
+            values = F.regexp_extract_all(F.coalesce("attributes", F.lit("")), F.lit(r'("(?:[^"\\]|\\.)*+")(?!\s*:)'), F.lit(1))
+            decoded = lambda v: F.coalesce(F.get_json_object(F.concat(F.lit('{"a":'), v, F.lit("}")), "$.a"), v)
+            found = found | F.exists(values, lambda v: F.contains(F.lower(decoded(v)), wanted))
         rows = rows.where(found)
     keys = [F.desc(c) if descending else F.asc(c) for c in ("start_ts", "span_id")]
     # the row after the page tells whether there is more; the page is ordered in one step, so a window over it is over limit + 1 rows
@@ -123,20 +132,29 @@ def buckets(spans: DataFrame, start: int, stop: int, step: int) -> DataFrame:
     """Of each bucket [b, b + step) aligned to start, and service: spans, errors, and durations with nearest-rank percentiles."""
     rows = spans.where(F.col("start_ts").between(start, stop))
     bucket = F.lit(start) + F.floor((F.col("start_ts") - start) / step).cast("long") * step
-    d = F.col("duration_ns")
-    rank = lambda p: F.expr(f"percentile_disc({p}) within group (order by duration_ns)").cast("long")
-    return rows.groupBy(bucket.alias("bucket"), "service").agg(
-        F.count("*").alias("spans"), F.count_if(F.col("status") == "error").alias("errors"), F.sum(d).alias("dur_sum"), F.min(d).alias("dur_min"), F.max(d).alias("dur_max"),
-        rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"),
+    d, keys = F.col("duration_ns"), ["bucket", "service"]
+    # how often each duration occurs, combined on the map side; what is ranked is these counts, in an order that a hot service shares among no more tasks than it has, but spills
+    counts = rows.groupBy(bucket.alias("bucket"), "service", "duration_ns").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "error").alias("errors"))
+    own = Window.partitionBy(*keys)
+    ranked = counts.select("*", F.sum("n").over(own.orderBy("duration_ns").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(own).alias("all"))
+    at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * p), d))
+    return ranked.groupBy(*keys).agg(
+        F.sum("n").alias("spans"), F.sum("errors").alias("errors"), F.sum(d * F.col("n")).alias("dur_sum"), F.min(d).alias("dur_min"), F.max(d).alias("dur_max"),
+        at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"),
     )
 
 
 def summaries(spans: DataFrame) -> DataFrame:
     """A row for each trace: its spans, errors, extent, services and root; root_state is unique, missing or ambiguous."""
     root = F.col("parent_span_id").isNull()
-    return spans.groupBy("trace_id").agg(
-        F.count("*").alias("rows"), F.count_distinct("span_id").alias("spans"), F.count_if(F.col("status") == "error").alias("errors"), F.min("start_ts").alias("start_ts"), F.max(F.col("start_ts") + F.col("duration_ns")).alias("end_ts"),
-        F.count_distinct("service").alias("service_count"), F.count_if(root).alias("roots"), F.min(F.when(root, F.col("name"))).alias("root_name"), F.min(F.when(root, F.col("service"))).alias("root_service"),
+    # first by span, then by trace: both aggregations go by the trace, so the spans are shuffled once
+    one = spans.repartition("trace_id").groupBy("trace_id", "span_id").agg(
+        F.count("*").alias("rows"), F.count_if(F.col("status") == "error").alias("errors"), F.min("start_ts").alias("start_ts"), F.max(F.col("start_ts") + F.col("duration_ns")).alias("end_ts"),
+        F.collect_set("service").alias("services"), F.count_if(root).alias("roots"), F.min(F.when(root, F.col("name"))).alias("root_name"), F.min(F.when(root, F.col("service"))).alias("root_service"),
+    )
+    return one.groupBy("trace_id").agg(
+        F.sum("rows").alias("rows"), F.count_if(F.col("span_id").isNotNull()).alias("spans"), F.sum("errors").alias("errors"), F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("services")))).cast("long").alias("service_count"), F.sum("roots").alias("roots"), F.min("root_name").alias("root_name"), F.min("root_service").alias("root_service"),
     ).select(
         "trace_id", "rows", "spans", "errors", "start_ts", "end_ts", (F.col("end_ts") - F.col("start_ts")).alias("duration_ns"), "service_count",
         F.when(F.col("roots") == 1, "unique").when(F.col("roots") == 0, "missing").otherwise("ambiguous").alias("root_state"), F.when(F.col("roots") == 1, F.col("root_name")).alias("root_name"), F.when(F.col("roots") == 1, F.col("root_service")).alias("root_service"),
