@@ -59,3 +59,24 @@ def test_one_row_of_each_group_is_kept(spark):
     rows = [(None, a), (None, a + " end"), (3, b), (3, b), (3, "alone here"), (4, b + " end"), (4, "other words"), (None, None), (None, "")]
     found = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(found) == 5 and {(r.doc_id, r.text) for r in found} >= {(3, b), (3, "alone here"), (4, "other words")}
+
+
+def test_long_texts_with_little_in_common_are_told_apart_without_their_sets(spark, monkeypatch):
+    draw = np.random.default_rng(9)
+    passages = [" ".join(f"p{x}" for x in draw.integers(0, 50_000, 30)) for _ in range(4)]
+    texts = [" ".join([*(f"t{x}" for x in draw.integers(0, 50_000, 3000)), *passages]) for _ in range(30)]
+    asked, sets_of = [], simhash.sets_of
+    monkeypatch.setattr(simhash, "sets_of", lambda docs, marks, shingle: asked.append(marks.count()) or sets_of(docs, marks, shingle))
+    assert linked(spark, texts) == {i: i for i in range(30)} and sum(asked) == 0
+    asked.clear()
+    assert linked(spark, [*texts, texts[3] + " and more"])[30] == 3 and 0 < sum(asked) <= 4
+
+
+def test_parities_never_exceed_the_true_difference():
+    draw = np.random.default_rng(10)
+    for n, m, same in ((0, 5, 0), (3, 9, 2), (200, 900, 150), (1000, 1030, 900), (40_000, 70_000, 10_000)):
+        both = np.unique(draw.integers(0, 2**63, n + m, dtype=np.uint64))
+        a, b = both[:n], np.concatenate((both[:same], both[n:]))
+        x, y = simhash.parities(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]))
+        assert simhash.least_apart(x, y) <= len(np.setxor1d(a, b)) and simhash.least_apart(x, x) == 0
+        assert simhash.least_apart(x, y) == simhash.least_apart(y, x)

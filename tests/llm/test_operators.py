@@ -254,3 +254,14 @@ def test_learners_meet_odd_rows(spark, docs):
     labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
     assert {r.score for r in classifier.classify(docs, labels).collect()} == {0.5}
     assert langid.identify(empty(docs)).count() == 0 and classifier.classify(empty(docs), labels).count() == 0
+
+
+def test_a_sample_is_drawn_without_its_texts(spark, monkeypatch):
+    rows = [(i, f"{['bad', 'good'][i % 2]} text {i} " * (i % 50 + 1)) for i in range(600)]
+    table = spark.createDataFrame([*rows, *rows[:40]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    seen, within = [], classifier._sample.within
+    monkeypatch.setattr(classifier._sample, "within", lambda rows, *rest: seen.append(rows.columns) or within(rows, *rest))
+    model = classifier.fit(table, labels, sample=100, sample_bytes=20_000)
+    assert seen and all("text" not in columns for columns in seen)
+    assert model == classifier.fit(table.distinct(), labels, sample=100, sample_bytes=20_000)
