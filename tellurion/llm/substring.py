@@ -38,6 +38,8 @@ LEVELS, NAME_LEVELS = 1, 2
 NO_ID = np.iinfo(np.int64).max
 RUN_SALT, PAIR_SALT, ANCHOR_SALT = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 SHARD_BYTES, KEYS_A_SHARD = 6 << 20, 8
+#: Bytes of text whose windows a home looks at together: some twenty numbers a word are held at once.
+PART_BYTES = 1 << 20
 
 
 def recompress(name: np.ndarray, row: np.ndarray, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -184,9 +186,16 @@ def _received(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | Non
             parts.append((np.full(len(key), r["home"], np.int32), key, check, np.frombuffer(r["ids"], "<i8")[_numbers(r["who"])], np.unpackbits(np.frombuffer(r["more"], np.uint8), count=len(key)).astype(bool)))
     if not parts:
         return None
-    home, key, check, ids, more = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((check, key))
-    home, key, check, ids, more = (x[order] for x in (home, key, check, ids, more))
+    # column by column, so that no more than one of them is held twice
+    columns = list(map(list, zip(*parts)))
+    parts.clear()
+    whole: list[np.ndarray] = []
+    while columns:
+        whole.append(np.concatenate(columns.pop(0)))
+    order = np.lexsort((whole[2], whole[1]))
+    for i, x in enumerate(whole):
+        whole[i] = x[order]
+    home, key, check, ids, more = whole
     return home, key, check, ids, more, np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (check[1:] != check[:-1]))))
 
 
@@ -235,7 +244,7 @@ def _parts(own: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
     text = pa.concat_arrays([x.field("text") for x in row.chunks]) if isinstance(row, pa.ChunkedArray) else row.field("text")
     data, offsets = _text.buffers(text)
     ids = own["ord"].to_numpy()
-    for i, j in _text.groups(offsets):
+    for i, j in _text.groups(offsets, PART_BYTES):
         part = offsets[i : j + 1]
         yield data[part[0] : part[-1]], part - part[0], ids[i:j]
 
