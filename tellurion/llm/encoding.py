@@ -364,12 +364,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(path: str, batches: Iterator[pa.RecordBatch], text: str, chunks: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encoded(path: str, batches: Iterator[pa.RecordBatch], text: str, chunks: bool = False, group: int = GROUP) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches, each with its ids and their offsets."""
     tool = encoder(path)
     for batch in batches:
         data, offsets = _text.buffers(batch.column(batch.schema.get_field_index(text)))
-        for i, j in _text.groups(offsets, GROUP):
+        for i, j in _text.groups(offsets, group):
             part = offsets[i : j + 1]
             ids, counts = (tool.encode_chunks if chunks else tool.encode)(data[part[0] : part[-1]], part - part[0])
             yield batch.slice(i, j - i), ids, counts

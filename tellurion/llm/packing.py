@@ -26,42 +26,50 @@ from tellurion.llm.encoding import encoded
 
 #: Rows of the table of ranks that are sent to all executors; with more, it is joined by a shuffle.
 MOST_RANKS = 200_000
+#: Bytes of text that are encoded and cut together.
+PART_BYTES = 1 << 19
+#: Pieces that are put together to matrices at once.
+PIECES_AT_ONCE = 500
 #: Sequences in a file of write_matrices().
 ROWS_A_FILE = 2048
 
 
+def cut_up(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int, separator: int, with_ids: bool, part: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of one task's documents, doc_id and text."""
+    seen = np.zeros(capacity + 1, np.int64)
+    for rows, ids, counts in encoded(tokenizer, batches, "text", group=PART_BYTES):
+        n = len(counts) - 1
+        ids = np.insert(ids, counts[1:], separator).astype("<u4")
+        counts = counts + np.arange(n + 1)
+        sizes = np.diff(counts)
+        each = -(-sizes // capacity)
+        row = np.repeat(np.arange(n), each)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+        start = piece * capacity
+        length = np.minimum(capacity, sizes[row] - start)
+        order = np.argsort(length, kind="stable")
+        runs = length[order]
+        first = np.flatnonzero(np.concatenate(([True], runs[1:] != runs[:-1])))
+        nth = np.empty(len(row), np.int64)
+        nth[order] = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) + seen[runs]
+        seen += np.bincount(length, minlength=capacity + 1)
+        raw = ids.tobytes()
+        at = 4 * (counts[row] + start)
+        cut = [raw[a:b] for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+        columns = [rows.column(0).take(pa.array(row)), *map(pa.array, (piece.astype(np.int32), start, length, np.fromiter(map(zlib.crc32, cut), np.int64, len(cut)), np.full(len(row), part, np.int32), nth))]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
+        if with_ids:
+            columns, names = [*columns, pa.array(cut, pa.binary())], [*names, "ids"]
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, separator: int = 0, with_ids: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, part and nth (the piece is the nth of its length in its task), perhaps ids."""
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(capacity + 1, np.int64)
-        part = TaskContext.get().partitionId()
-        for rows, ids, counts in encoded(tokenizer, batches, "text"):
-            n = len(counts) - 1
-            ids = np.insert(ids, counts[1:], separator).astype("<u4")
-            counts = counts + np.arange(n + 1)
-            sizes = np.diff(counts)
-            each = -(-sizes // capacity)
-            row = np.repeat(np.arange(n), each)
-            piece = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
-            start = piece * capacity
-            length = np.minimum(capacity, sizes[row] - start)
-            order = np.argsort(length, kind="stable")
-            runs = length[order]
-            first = np.flatnonzero(np.concatenate(([True], runs[1:] != runs[:-1])))
-            nth = np.empty(len(row), np.int64)
-            nth[order] = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) + seen[runs]
-            seen += np.bincount(length, minlength=capacity + 1)
-            raw = ids.tobytes()
-            at = 4 * (counts[row] + start)
-            cut = [raw[a:b] for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
-            columns = [rows.column(0).take(pa.array(row)), *map(pa.array, (piece.astype(np.int32), start, length, np.fromiter(map(zlib.crc32, cut), np.int64, len(cut)), np.full(len(row), part, np.int32), nth))]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
-            if with_ids:
-                columns, names = [*columns, pa.array(cut, pa.binary())], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+        return cut_up(batches, tokenizer, capacity, separator, with_ids, TaskContext.get().partitionId())
 
     return docs.mapInArrow(_text.tidy(run, "encoding"), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint" + ", ids binary" * with_ids)
 
@@ -123,8 +131,8 @@ def pack_matrices(docs: DataFrame, tokenizer: str, capacity: int = 2048, separat
             return pa.RecordBatch.from_arrays([pa.array(sequence[first]), pa.array(lengths), pa.array(matrix, pa.binary()), pa.array(cumulative, pa.list_(pa.int32())), pa.array(resets, pa.list_(pa.int32())), *lists], names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = pa.Table.from_batches([batch.slice(at, 2000)])
+            for at in range(0, batch.num_rows, PIECES_AT_ONCE):
+                part = pa.Table.from_batches([batch.slice(at, PIECES_AT_ONCE)])
                 held = pa.concat_tables([held, part]) if held is not None else part
                 last = held["sequence_id"].to_numpy()
                 whole = int(np.searchsorted(last, last[-1], "left"))

@@ -4,8 +4,11 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 
-from tellurion.llm import substring
+from tellurion.llm import encoding, packing, substring
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def texts(n, n_words=1000, vocabulary=3000):
@@ -45,3 +48,16 @@ def test_what_a_shard_received_is_ordered_column_by_column():
     assert most_held(lambda: substring._received(iter(sent))) < 100
     home, key, check, ids, more, first = substring._received(iter(sent))
     assert len(key) == n * homes and (key[1:] >= key[:-1]).all() and np.bincount(home).tolist() == [n] * homes
+
+
+def test_pieces_are_cut_in_parts():
+    own = texts(1100)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(own))), pa.array(own)], ["doc_id", "text"])
+    for _ in encoding.encoded(TOKENIZER, iter([batch.slice(0, 100)]), "text"):
+        pass  # the worker's tables are there
+
+    def run():
+        for part in packing.cut_up(iter([batch]), TOKENIZER, 2048, 0, True, 0):
+            del part
+
+    assert most_held(run) < 40
