@@ -35,6 +35,7 @@ class Rows:
     df: DataFrame
     typed: bool = True
     order: list[tuple[Column, bool]] = field(default_factory=lambda: [(F.col("ts"), False), (F.col("seq"), False)])  # True: descending
+    read: dict[str, str] = field(default_factory=dict)  # of fields of typed rows: the column that has their JSON type and text
 
     @property
     def sort(self) -> list[Column]:
@@ -45,14 +46,28 @@ class Rows:
             return F.try_element_at(F.col("row"), F.lit(name))
         if name in FIXED:
             return T.quote(self.text(name))
-        value = F.get_json_object("metadata", path(name))
+        value = self._value(name)
         return F.when(self._kind(name) == "STRING", T.quote(value)).when(self._kind(name) == "VOID", "null").otherwise(value)
 
     def _kind(self, name: str) -> Column:
         """The JSON type. The metadata are parsed once a row, into the column that start() adds."""
+        if name in self.read:
+            return F.col(f"{self.read[name]}.kind")
         parsed = F.col("variant") if "variant" in self.df.columns else F.try_parse_json("metadata")
         return F.schema_of_variant(F.try_variant_get(parsed, path(name), "variant"))
 
+    def _value(self, name: str) -> Column:
+        return F.col(f"{self.read[name]}.value") if name in self.read else F.get_json_object("metadata", path(name))
+
+    def reading(self, names: list[str]) -> Rows:
+        """The same rows, for filters on those fields: their JSON is read once a row."""
+        new = [n for n in dict.fromkeys(names) if self.typed and n not in FIXED and n not in self.read]
+        if not new:
+            return self
+        read = {n: f"__read{len(self.read) + i}" for i, n in enumerate(new)}
+        found = {c: F.struct(self._kind(n).alias("kind"), self._value(n).alias("value")) for n, c in read.items()}
+        return replace(self, df=self.df.select("*", once(found)), read=self.read | read)
+
     def text(self, name: str) -> Column:
         if not self.typed:
             return T.text(self.token(name))
@@ -60,18 +75,18 @@ class Rows:
             return T.micros(F.col("ts"))
         if name in ("_msg", "level"):
             return F.coalesce({"_msg": "message", "level": "level"}[name], F.lit(""))
-        return F.coalesce(F.get_json_object("metadata", path(name)), F.lit(""))
+        return F.coalesce(self._value(name), F.lit(""))
 
     def number(self, name: str) -> Column:
         """A JSON number."""
         if self.typed and name not in FIXED:
-            return F.when(self._kind(name).rlike(NUMERIC), F.get_json_object("metadata", path(name)).try_cast("double"))
+            return F.when(self._kind(name).rlike(NUMERIC), self._value(name).try_cast("double"))
         return T.number(self.token(name))
 
     def words(self, name: str) -> Column:
         """What text filters see: strings alone."""
         if self.typed and name not in FIXED:
-            return F.when(self._kind(name) == "STRING", F.get_json_object("metadata", path(name)))
+            return F.when(self._kind(name) == "STRING", self._value(name))
         return self.text(name) if self.typed else F.when(T.is_string(self.token(name)), self.text(name))
 
     def mapped(self) -> Rows:
@@ -106,6 +121,11 @@ def settled(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if c != "row"], F.explode(F.array("row")).alias("row"))
 
 
+def once(columns: dict[str, Column]) -> Column:
+    """Those columns, behind a generator: else a filter on them is pushed below and computes them anew wherever it reads one."""
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+
+
 def _any(columns) -> Column:
     out = F.lit(False)
     for c in columns:
@@ -570,7 +590,8 @@ class Run:
         return max((high - low + 1) / 1_000_000, 1e-6)
 
     def do_uniq(self, rows: Rows, by: list[str], filter=None, hits=None, limit=None) -> Rows:
-        keyed = rows.df.select(*[rows.token(n).alias(f"__k{i}") for i, n in enumerate(by)])
+        rows = rows.reading(by)
+        keyed = rows.df.select(once({f"__k{i}": rows.token(n) for i, n in enumerate(by)}))
         keys = [f"__k{i}" for i in range(len(by))]
         keyed = keyed.where(_any(T.text(F.col(k)) != "" for k in keys))
         if filter:

@@ -121,3 +121,15 @@ def test_what_is_malformed(logs, query):
 def test_options(logs):
     assert rows(logs, 'options(global_filter=(level:error)) * | count() n', "n") == [("2",)]
     assert rows(logs, "options(time_offset=1h) level:warning | fields _time", "_time") == [("2023-11-14T23:13:23Z",)]
+
+
+def reads(logs, query):
+    """How often the plan parses a row's JSON, and how often it looks a path up."""
+    plan = logs.query(query, NOW, ordered=False)._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("parseJson"), plan.count("get_json_object(metadata")
+
+
+def test_uniq_reads_its_fields_once(logs):
+    assert reads(logs, "* | uniq by (status, host) hits") == (1, 2)
+    assert reads(logs, "* | top 2 by (status)") == (1, 1)
+    assert [json.loads(r["row"]) for r in logs.query("* | top 2 by (status)", NOW).collect()] == [{"status": 200, "hits": 2}, {"status": 403, "hits": 1}]
