@@ -193,6 +193,18 @@ def predicate(rows: Rows, node, run) -> Column:
     raise QueryError(f"unknown filter {node!r}")
 
 
+def fields_of(node) -> list[str]:
+    """The fields that a filter reads by name."""
+    match node:
+        case P.And(items) | P.Or(items):
+            return [n for x in items for n in fields_of(x)]
+        case P.Not(item):
+            return fields_of(item)
+        case P.Match(name, kind, args):
+            return [name] * (not name.endswith("*")) + list(args[:1]) * (kind in ("eq_field", "le_field", "lt_field"))
+    return []
+
+
 def field_set(rows: Rows, prefix: str, kind: str, args: tuple, run) -> Column:
     entries = F.map_entries(_row_column(rows))
     fits = F.filter(entries, lambda e: e["key"].startswith(prefix))
@@ -345,7 +357,7 @@ class Run:
             rows = replace(rows, df=rows.df.withColumn("ts", F.col("ts") + offset))
         given = query.options.get("global_filter", self.global_filter)
         for f in [query.filter] + [given] * (given is not None):
-            rows = replace(rows, df=rows.df.where(predicate(rows, f, self)))
+            rows = self.do_filter(rows, f)
         return rows
 
     def query(self, query: P.Query) -> Rows:
@@ -373,6 +385,7 @@ class Run:
 
     # rows
     def do_filter(self, rows: Rows, filter) -> Rows:
+        rows = rows.reading(fields_of(filter))
         return replace(rows, df=rows.df.where(predicate(rows, filter, self)))
 
     def do_limit(self, rows: Rows, n: int) -> Rows:
@@ -482,7 +495,9 @@ class Run:
         """keys and value of a statistic over all values of one field, by how often each value occurs: no group is ever one row. And the token of an empty group."""
         if s.name not in ("histogram", "median", "quantile") or len(s.fields) != 1 or s.fields[0] == "*":
             return None
-        f, holds = s.fields[0], self.when(rows, s.condition)
+        f = s.fields[0]
+        rows = rows.reading([f] + fields_of(s.condition))
+        holds = self.when(rows, s.condition)
         if s.name == "histogram":
             v = rows.number(f)
             several = rows.df.where(holds & v.isNotNull() & ~F.isnan(v) & (v >= 0)).groupBy(*keys, log_bucket(v).alias("__bucket")).agg(F.count("*").alias("__n"))

@@ -133,3 +133,9 @@ def test_uniq_reads_its_fields_once(logs):
     assert reads(logs, "* | uniq by (status, host) hits") == (1, 2)
     assert reads(logs, "* | top 2 by (status)") == (1, 1)
     assert [json.loads(r["row"]) for r in logs.query("* | top 2 by (status)", NOW).collect()] == [{"status": 200, "hits": 2}, {"status": 403, "hits": 1}]
+
+
+def test_filters_read_their_fields_once(logs):
+    assert reads(logs, "status:<400 -host:db | uniq by (status) hits") == (1, 2)
+    assert reads(logs, "* | filter status:>=400 | count() n") == (1, 1)
+    assert [json.loads(r["row"]) for r in logs.query("status:<403 -host:db | uniq by (status) hits", NOW).collect()] == [{"status": 200, "hits": 2}]
